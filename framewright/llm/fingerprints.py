@@ -11,14 +11,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright import scratch
-from framewright.llm.native import let, split_words, windows
+from framewright.llm.native import let, ordered_buckets, split_words, windows
 
 SEPARATORS = r"[\x20\x09-\x0D]+"
 SHINGLE = 5
 K = 128
-#: Rows in one ordered bucket of neighbours, and quantiles that guide the buckets.
+#: Rows in one ordered bucket of neighbours.
 BUCKET_ROWS = 2000
-CUTS = 64
 
 
 def sketch(text: Column, shingle: int = SHINGLE, k: int = K) -> Column:
@@ -62,20 +61,6 @@ def merged(docs: DataFrame, by: str, text: str = "text", k: int = K) -> DataFram
     return each.groupBy(by).agg(F.slice(F.sort_array(F.collect_set("h")), 1, k).alias("sketch"))
 
 
-def ordered_buckets(docs: DataFrame, bucket_rows: int = BUCKET_ROWS) -> Column:
-    """A bucket number that ascends with doc_id, about `bucket_rows` rows each: quantiles of doc_id, cut into equal widths between them."""
-    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10_000)).first()
-    if not n:
-        return F.lit(-1).cast("long")
-    cuts = [int(c) for c in cuts]
-    edges = sorted({min(cuts), *cuts, max(cuts) + 1})
-    inside = max(1, round(n / bucket_rows / (len(edges) - 1)))
-    at = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.size(F.filter(F.lit(edges), lambda e: e <= F.col("doc_id")))))
-    low, high = F.element_at(F.lit(edges), at), F.element_at(F.lit(edges), at + 1)
-    part = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * inside)
-    return F.coalesce((at * inside + F.greatest(F.lit(0), F.least(F.lit(inside - 1), part))).cast("long"), F.lit(-1))
-
-
 def fingerprint_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     """Fingerprints of every whole text and of its edited text (the last third replaced by the head of the next document).
 
@@ -88,7 +73,7 @@ def fingerprint_pairs(docs: DataFrame, k: int = K) -> DataFrame:
     ignored, whatever their names.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("bucket", ordered_buckets(docs))
+    docs = docs.withColumn("bucket", ordered_buckets(docs, BUCKET_ROWS))
     heads = scratch.written(docs.groupBy("bucket").agg(F.max(F.struct("doc_id", "text"))["text"].alias("head")), "fingerprint-heads")
     top = heads.agg(F.max("bucket")).first()[0]
     links = heads.select("bucket", F.coalesce(F.lead("bucket").over(W.orderBy(F.desc("bucket"))), F.lit(top)).alias("below"))

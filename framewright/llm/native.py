@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+#: Quantiles that guide ordered buckets.
+CUTS = 64
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -30,3 +32,17 @@ def windows(words: Column, k: int) -> Column:
     hashes = F.transform(words, lambda w: F.xxhash64(w))
     slide = lambda h: F.transform(F.sequence(F.lit(0), F.size(h) - k), lambda i: F.xxhash64(*[F.get(h, i + j) for j in range(k)]))
     return let(hashes, lambda h: F.when(F.size(h) >= k, slide(h)).otherwise(F.array().cast("array<bigint>")))
+
+
+def ordered_buckets(docs: DataFrame, bucket_rows: int) -> Column:
+    """A bucket number that ascends with doc_id, about `bucket_rows` rows each: quantiles of doc_id, cut into equal widths between them."""
+    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10_000)).first()
+    if not n:
+        return F.lit(-1).cast("long")
+    cuts = [int(c) for c in cuts]
+    edges = sorted({min(cuts), *cuts, max(cuts) + 1})
+    inside = max(1, round(n / bucket_rows / (len(edges) - 1)))
+    at = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.size(F.filter(F.lit(edges), lambda e: e <= F.col("doc_id")))))
+    low, high = F.element_at(F.lit(edges), at), F.element_at(F.lit(edges), at + 1)
+    part = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * inside)
+    return F.coalesce((at * inside + F.greatest(F.lit(0), F.least(F.lit(inside - 1), part))).cast("long"), F.lit(-1))
