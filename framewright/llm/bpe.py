@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from framewright.llm.pretokens import splitter
 
 #: Words whose ids a worker remembers between batches; it forgets all beyond. Long words are never remembered.
-REMEMBERED, LONG = 400_000, 64
+REMEMBERED, LONG = 600_000, 64
 TEXTS_AT_ONCE = 1000
 
 
@@ -33,7 +33,7 @@ def ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
-def replay(words: list[bytes], rank_of: dict[bytes, int]) -> list[list[int]]:
+def replay(words: list[bytes], rank_of: dict[bytes, int], by_id: dict[int, bytes]) -> list[list[int]]:
     """The ids of each word, all words merged together in rank order."""
     home, token, left, right = [], [], [], []
     firsts = []
@@ -49,38 +49,54 @@ def replay(words: list[bytes], rank_of: dict[bytes, int]) -> list[list[int]]:
     rank = rank_of.get
     for i, j in enumerate(right):
         if j >= 0 and (r := rank(token[i] + token[j])) is not None:
-            index.setdefault(r, []).append(i)
+            if r in index:
+                index[r].append(i)
+            else:
+                index[r] = [i]
     heap = list(index)
     heapq.heapify(heap)
+    push, pop = heapq.heappush, heapq.heappop
     while heap:
-        now = heapq.heappop(heap)
+        now = pop(heap)
         places = index.pop(now, None)
         if places is None:
             continue
         wait: set[int] = set()
-        for i in sorted(places):
+        places.sort()
+        size = len(by_id[now])
+        for i in places:
             t = token[i]
-            j = right[i] if t else -1
-            if j < 0 or rank(joined := t + token[j]) != now:
+            j = right[i]
+            if j < 0 or not t or len(t) + len(token[j]) != size or rank(t + token[j]) != now:
                 continue
-            if home[i] in wait:
+            if wait and home[i] in wait:
                 if now not in index:
                     index[now] = []
-                    heapq.heappush(heap, now)
+                    push(heap, now)
                 index[now].append(i)
                 continue
-            token[i], token[j] = joined, b""
+            token[i] = t = by_id[now]
+            token[j] = b""
             k = right[i] = right[j]
             if k >= 0:
                 left[k] = i
-            for a, b in ((left[i], i), (i, k)):
-                if a >= 0 and b >= 0 and (r := rank(token[a] + token[b])) is not None:
-                    if r not in index:
-                        index[r] = []
-                        heapq.heappush(heap, r)
-                    index[r].append(a)
+                if (r := rank(t + token[k])) is not None:
+                    if r in index:
+                        index[r].append(i)
+                    else:
+                        index[r] = [i]
+                        push(heap, r)
                     if r < now:
                         wait.add(home[i])
+            h = left[i]
+            if h >= 0 and (r := rank(token[h] + t)) is not None:
+                if r in index:
+                    index[r].append(h)
+                else:
+                    index[r] = [h]
+                    push(heap, r)
+                if r < now:
+                    wait.add(home[i])
     ids = []
     for at, word in zip(firsts, words, strict=True):
         out, i = [], at if word else -1
@@ -105,7 +121,10 @@ class Coder:
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
-        found = replay([w.encode() for w in new], self.ranks)
+        raw = [w.encode() for w in new]
+        # A word that is an entry of the vocabulary is that one id, as the library has it.
+        merged = iter(replay([x for x in raw if x not in self.ranks], self.ranks, self.bytes_of))
+        found = [[self.ranks[x]] if x in self.ranks else next(merged) for x in raw]
         self.known.update((w, np.array(x, "<u4").tobytes()) for w, x in zip(new, found, strict=True))
         get = self.known.__getitem__
         out = [b"".join(map(get, words)) for words in split]
