@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from framewright.llm import bpe, decontaminate, fingerprints, jaccard, repeats, sharding, token_counts, token_files
+from framewright.llm import bpe, decontaminate, fingerprints, jaccard, repeats, sharding, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,10 +24,18 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_bottom_k_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_pairs(table(spark, sf_dir, "documents"))
 
@@ -45,8 +53,8 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_token_counts, op3_token_files, op5_byte_bpe, op7_bottom_k_fingerprints, op8_jaccard_join, op9_decontaminate, op10_repeats)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_token_counts, op3_token_files, op4_warc, op5_byte_bpe, op6_toxicity, op7_bottom_k_fingerprints, op8_jaccard_join, op9_decontaminate, op10_repeats)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontaminate": decontaminate.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
