@@ -3,15 +3,116 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from framewright.operators import frames, text
+
+
+def english(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang = 'en'").select("doc_id", "text")
+
+
+def clean_sentences(spark, sf_dir):
+    return text.gated(text.sentences(english(spark, sf_dir)))
+
+
+def ascii_filter(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.groupBy("lang").agg(F.count_if(text.is_ascii(F.col("text"))).alias("n_ascii"), F.count("text").alias("n_texts"))
+
+
+def tokenize_hyphen(spark, sf_dir):
+    return text.tokens(clean_sentences(spark, sf_dir))
+
+
+def _annotated(spark, sf_dir):
+    return frames.annotated(tokenize_hyphen(spark, sf_dir))
+
+
+def nominal_predicates(spark, sf_dir):
+    return frames.predicates(_annotated(spark, sf_dir))
+
+
+def verb_noun_map(spark, sf_dir):
+    return nominal_predicates(spark, sf_dir).groupBy("verb").agg(F.count(F.lit(1)).alias("n"), F.min("nom").alias("nom"))
+
+
+def candidates(spark, sf_dir):
+    return frames.candidates(_annotated(spark, sf_dir))
+
+
+def frame_product(spark, sf_dir):
+    return frames.frames(candidates(spark, sf_dir))
+
+
+def extract_frames(spark, sf_dir):
+    return frames.longest(frame_product(spark, sf_dir))
+
+
+def unused_candidates(spark, sf_dir):
+    return frames.unused(candidates(spark, sf_dir), extract_frames(spark, sf_dir))
+
+
+def label_counts(spark, sf_dir):
+    return candidates(spark, sf_dir).groupBy("position").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("arg").alias("n_args"))
+
+
+def label_ids(spark, sf_dir):
+    labels = candidates(spark, sf_dir).select(F.col("position").alias("label")).distinct()
+    return labels.select("label", (F.row_number().over(W.orderBy("label")) - 1).alias("id"))  # as many rows as labels
+
+
+def f1_report(spark, sf_dir):
+    return frames.f1_by_label(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null and quality is not null"), "toxic", "quality")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang")
+    return extract_frames(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {}
+    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report)}
+
+
+_words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
+_WITH = rf"""WITH raw AS (SELECT doc_id, string_split_regex(text, '[.\n]+') AS p FROM documents WHERE lang = 'en' AND text IS NOT NULL),
+parts AS (SELECT doc_id, unnest(range(len(p))) AS k, p FROM raw),
+sents AS (SELECT doc_id, CAST(k AS INT) AS sent_id, trim(regexp_replace(regexp_replace(replace(p[k + 1], chr(9), ''), '_', ' ', 'g'), '\s+', ' ', 'g')) AS sentence FROM parts),
+gated AS (SELECT * FROM sents WHERE sentence <> '' AND len(string_split(sentence, ' ')) BETWEEN 4 AND 34 AND regexp_full_match(sentence, '[\x00-\x7F]*')),
+lists AS (SELECT doc_id, sent_id, regexp_extract_all(sentence, '\w+(?:-\w+)*|''s|[^\w\s]') AS ws FROM gated),
+tok AS (SELECT doc_id, sent_id, CAST(unnest(range(len(ws))) AS INT) AS i, unnest(ws) AS orth FROM lists),
+posd AS (SELECT *, lower(orth) AS w, CASE WHEN lower(orth) IN {_words(frames.ADPOSITIONS)} THEN 'ADP' WHEN lower(orth) IN {_words(frames.DETERMINERS)} THEN 'DET'
+  WHEN lower(orth) IN {_words(frames.POSSESSIVES)} THEN 'PRON' WHEN NOT regexp_matches(orth, '^\w') THEN 'PUNCT' WHEN suffix(lower(orth), 'ly') THEN 'ADV' WHEN suffix(lower(orth), 'ing') THEN 'VERB' ELSE 'NOUN' END AS pos FROM tok),
+ann AS (SELECT *, pos = 'NOUN' AND suffix(w, 'tion') AND length(w) > 5 AS is_nom FROM posd),
+pred AS (SELECT doc_id, sent_id, i, w AS nom, regexp_replace(w, 'ion$', 'e') AS verb FROM ann WHERE is_nom),
+near AS (SELECT a.doc_id, a.sent_id, a.i, a.w, q.w AS prep, (SELECT max(p.i) FROM pred p WHERE p.doc_id = a.doc_id AND p.sent_id = a.sent_id AND p.i < a.i) AS pred_i
+  FROM ann a JOIN ann q ON q.doc_id = a.doc_id AND q.sent_id = a.sent_id AND q.i = a.i - 1 WHERE a.pos = 'NOUN' AND q.w IN ('of', 'by')),
+cand AS (SELECT n.doc_id, n.sent_id, n.pred_i, p.nom, n.i AS arg_i, n.w AS arg, n.prep AS position FROM near n JOIN pred p ON p.doc_id = n.doc_id AND p.sent_id = n.sent_id AND p.i = n.pred_i
+  UNION ALL SELECT a.doc_id, a.sent_id, p.i, p.nom, a.i, a.w, CASE WHEN a.pos = 'PRON' THEN 'DET-POSS' ELSE 'N-N-MOD' END FROM ann a JOIN pred p ON p.doc_id = a.doc_id AND p.sent_id = a.sent_id AND p.i = a.i + 1 WHERE a.pos IN ('NOUN', 'PRON')),
+s AS (SELECT * FROM cand WHERE position IN {_words(frames.POSITIONS["SUBJECT"])}), o AS (SELECT * FROM cand WHERE position IN {_words(frames.POSITIONS["OBJECT"])}),
+prod AS (SELECT doc_id, sent_id, pred_i, nom, arg_i AS subj_i, arg AS subject, NULL::INT AS obj_i, NULL::VARCHAR AS object, 1 AS n_args FROM s
+  UNION ALL SELECT doc_id, sent_id, pred_i, nom, NULL, NULL, arg_i, arg, 1 FROM o
+  UNION ALL SELECT s.doc_id, s.sent_id, s.pred_i, s.nom, s.arg_i, s.arg, o.arg_i, o.arg, 2 FROM s JOIN o ON s.doc_id = o.doc_id AND s.sent_id = o.sent_id AND s.pred_i = o.pred_i
+  WHERE s.arg_i <> o.arg_i AND NOT (s.position IN {_words(frames.BEFORE)} AND o.position IN {_words(frames.BEFORE)} AND s.arg_i > o.arg_i)),
+best AS (SELECT * FROM prod QUALIFY rank() OVER (PARTITION BY doc_id, sent_id, pred_i ORDER BY n_args DESC) = 1)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "clean_sentences": _WITH + "SELECT * FROM gated",
+        "ascii_filter": r"SELECT lang, count(*) FILTER (regexp_full_match(text, '[\x00-\x7F]*')) AS n_ascii, count(text) AS n_texts FROM documents GROUP BY lang",
+        "tokenize_hyphen": _WITH + "SELECT * FROM tok",
+        "nominal_predicates": _WITH + "SELECT * FROM pred",
+        "verb_noun_map": _WITH + "SELECT verb, count(*) AS n, min(nom) AS nom FROM pred GROUP BY verb",
+        "candidates": _WITH + "SELECT * FROM cand",
+        "frame_product": _WITH + "SELECT * FROM prod",
+        "extract_frames": _WITH + "SELECT * FROM best",
+        "unused_candidates": _WITH + "SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = c.doc_id AND b.sent_id = c.sent_id AND b.pred_i = c.pred_i AND (b.subj_i = c.arg_i OR b.obj_i = c.arg_i))",
+        "label_counts": _WITH + "SELECT position, count(*) AS n, count(DISTINCT arg) AS n_args FROM cand GROUP BY position",
+        "label_ids": _WITH + "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS id FROM (SELECT DISTINCT position AS label FROM cand)",
+        "f1_report": """SELECT label, count(*) FILTER (t = 1 AND ok) AS tp, count(*) FILTER (t = 0 AND NOT ok) AS fp, count(*) FILTER (t = 1 AND NOT ok) AS fn,
+            round(2.0 * count(*) FILTER (t = 1 AND ok) / nullif(2.0 * count(*) FILTER (t = 1 AND ok) + count(*) FILTER (NOT ok), 0), 6) AS f1
+            FROM (SELECT toxic AS label, 1 AS t, toxic = quality AS ok FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL UNION ALL SELECT quality, 0, toxic = quality FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL) GROUP BY label""",
+    }
