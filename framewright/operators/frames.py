@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright.functions.columns import strings
+
 # Word lists of the annotator.
 ADPOSITIONS = ["about", "as", "at", "by", "for", "from", "in", "into", "of", "on", "to", "with"]
 DETERMINERS = ["a", "an", "that", "the", "this"]
@@ -47,6 +49,37 @@ def candidates(tokens: DataFrame) -> DataFrame:
     return each.select("doc_id", "sent_id", "c.pred_i", "c.nom", F.col("i").alias("arg_i"), F.lower("orth").alias("arg"), "c.position")
 
 
+def parsed(tokens: DataFrame) -> DataFrame:
+    """Annotated tokens as the tokens of trees (lower-cased), of sentences with a nominalization: nmod with its case, compound and nmod:poss; all others are roots."""
+    whole, s = W.partitionBy("doc_id", "sent_id"), W.partitionBy("doc_id", "sent_id").orderBy("i")
+    w = F.lower("orth")
+    left = F.last(F.when(F.col("is_nom"), F.col("i")), ignorenulls=True).over(s.rowsBetween(W.unboundedPreceding, -1))
+    t = tokens.withColumn("_any", F.max("is_nom").over(whole)).withColumn("_left", left).withColumn("_prev", F.lower(F.lag("orth").over(s))).withColumn("_before", F.lead("is_nom").over(s)).filter("_any")
+    t = t.withColumn("_nmod", F.coalesce((F.col("pos") == "NOUN") & F.col("_prev").isin("of", "by") & F.col("_left").isNotNull(), F.lit(False)))
+    case = w.isin("of", "by") & F.coalesce(F.lead("_nmod").over(s), F.lit(False))
+    dep = F.when(F.col("_nmod"), "nmod").when(F.col("_before") & (F.col("pos") == "NOUN"), "compound").when(F.col("_before") & (F.col("pos") == "PRON"), "nmod:poss").when(case, "case").otherwise("root")
+    t = t.withColumn("dep", dep)
+    head = F.when(F.col("dep") == "nmod", F.col("_left")).when(F.col("dep") == "root", F.col("i")).otherwise(F.col("i") + 1)
+    tag = F.when((F.col("pos") == "NOUN") & w.endswith("s"), "NNS").when(F.col("pos") == "NOUN", "NN").when(F.col("pos") == "VERB", "VBG").otherwise(F.col("pos"))
+    return t.select("doc_id", "sent_id", "i", w.alias("orth"), w.alias("lemma"), "pos", tag.alias("tag"), "dep", head.cast("int").alias("head"))
+
+
+def nominal_lexicon(preds: DataFrame) -> DataFrame:
+    """The lexicon of the corpus' own nominalizations (nom, verb), each with the frame NOM-NP."""
+    of = lambda name: F.struct(
+        F.lit(name).alias("type"), strings(*BEFORE, "PREFIX").alias("positions"), strings(POSITIONS[name][-1]).alias("prefixes"), strings().alias("illegal_prefixes"),
+        strings("PROPN", "NOUN", "PRON", "DET").alias("root_upostags"), strings().alias("root_urelations"), strings().alias("root_patterns"), strings().alias("constraints"), strings().alias("including"),
+    )
+    none = F.array().cast("array<map<string,array<string>>>")
+    return preds.select("nom", "verb").distinct().select(F.lit(False).alias("is_verb"), F.col("nom").alias("entry_key"), "verb", F.lit("NOM-NP").alias("subcat"), strings().alias("required"), strings().alias("constraints"), none.alias("not_clauses"), F.array(of("OBJECT"), of("SUBJECT")).alias("args"))
+
+
+def golden_diff(found: DataFrame, golden: DataFrame, key: list[str]) -> DataFrame:
+    """Keys whose rows differ between two results, counting repetitions, or that only one of them has."""
+    golden = golden.select(found.columns)
+    return found.exceptAll(golden).select(key).unionByName(golden.exceptAll(found).select(key)).distinct()
+
+
 def frames(cands: DataFrame) -> DataFrame:
     """Every assignment of a predicate's candidates to SUBJECT and OBJECT, either of which can be empty but not both.
 

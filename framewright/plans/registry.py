@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.operators import frames, text
+from framewright.functions.columns import first
+from framewright.operators import datasets, extract, frames, present, text, trees, verbnouns
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,12 +68,58 @@ def f1_report(spark, sf_dir):
     return frames.f1_by_label(spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null and quality is not null"), "toxic", "quality")
 
 
+def _structures(spark, sf_dir):
+    """The general engine over the annotated corpus: trees, lexicon, matching, products, constraints, choice and spans."""
+    tokens = _annotated(spark, sf_dir)
+    return extract.extract(trees.trees(frames.parsed(tokens)), frames.nominal_lexicon(frames.predicates(tokens)), null_choice=True)
+
+
+def extract_structures(spark, sf_dir):
+    of = lambda t: F.get("toks", first(F.filter("xs", lambda x: x["type"] == t))["head_i"])
+    found = _structures(spark, sf_dir).select("doc_id", "sent_id", "pred_i", F.get("toks", F.col("pred_i"))["orth"].alias("nom"), of("SUBJECT").alias("s"), of("OBJECT").alias("o"), F.size("xs").alias("n_args"))
+    return found.select("doc_id", "sent_id", "pred_i", "nom", F.col("s.i").alias("subj_i"), F.col("s.orth").alias("subject"), F.col("o.i").alias("obj_i"), F.col("o.orth").alias("object"), "n_args")
+
+
+def mention_ids(spark, sf_dir):
+    return present.mentions(_structures(spark, sf_dir)).select("doc_id", "sent_id", "pred_i", "event_id", "argument_id", "n_args", "label")
+
+
+def informative_event(spark, sf_dir):
+    return present.informative_events(present.mentions(_structures(spark, sf_dir))).select("doc_id", "sent_id", "event_id")
+
+
+def iob_tags(spark, sf_dir):
+    return present.iob(_structures(spark, sf_dir))
+
+
+def iobes_tags(spark, sf_dir):
+    return present.iobes(_structures(spark, sf_dir))
+
+
+def arg_samples(spark, sf_dir):
+    return datasets.arg_samples(_structures(spark, sf_dir))
+
+
+def golden_diff(spark, sf_dir):
+    return frames.golden_diff(extract_frames(spark, sf_dir), frame_product(spark, sf_dir), ["doc_id", "sent_id", "pred_i"])
+
+
+def all_forms(spark, sf_dir):
+    pairs = nominal_predicates(spark, sf_dir).select("verb", F.col("nom").alias("noun")).distinct()
+    return verbnouns.all_forms(pairs).select("verb", F.array_join("forms", ",").alias("forms"))
+
+
+def balanced_sample(spark, sf_dir):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
+    return datasets.balanced(labels, "toxic", "doc_id").select("doc_id", "toxic", "turn")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_frames(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report)}
+    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, golden_diff, all_forms, balanced_sample)}
 
 
 _words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
@@ -97,6 +144,20 @@ prod AS (SELECT doc_id, sent_id, pred_i, nom, arg_i AS subj_i, arg AS subject, N
   WHERE s.arg_i <> o.arg_i AND NOT (s.position IN {_words(frames.BEFORE)} AND o.position IN {_words(frames.BEFORE)} AND s.arg_i > o.arg_i)),
 best AS (SELECT * FROM prod QUALIFY rank() OVER (PARTITION BY doc_id, sent_id, pred_i ORDER BY n_args DESC) = 1)
 """
+# A tree gives a token one head: `of` and `by` win over a place before a nominalization.
+_TREE = _WITH.rstrip() + rf""",
+nmod AS (SELECT doc_id, sent_id, i FROM near WHERE pred_i IS NOT NULL),
+cand2 AS (SELECT * FROM cand c WHERE position NOT IN {_words(frames.BEFORE)} OR NOT EXISTS (SELECT 1 FROM nmod n WHERE n.doc_id = c.doc_id AND n.sent_id = c.sent_id AND n.i = c.arg_i)),
+s2 AS (SELECT * FROM cand2 WHERE position IN {_words(frames.POSITIONS["SUBJECT"])}), o2 AS (SELECT * FROM cand2 WHERE position IN {_words(frames.POSITIONS["OBJECT"])}),
+prod2 AS (SELECT doc_id, sent_id, pred_i, nom, arg_i AS subj_i, arg AS subject, NULL::INT AS obj_i, NULL::VARCHAR AS object, 1 AS n_args FROM s2
+  UNION ALL SELECT doc_id, sent_id, pred_i, nom, NULL, NULL, arg_i, arg, 1 FROM o2
+  UNION ALL SELECT s2.doc_id, s2.sent_id, s2.pred_i, s2.nom, s2.arg_i, s2.arg, o2.arg_i, o2.arg, 2 FROM s2 JOIN o2 ON s2.doc_id = o2.doc_id AND s2.sent_id = o2.sent_id AND s2.pred_i = o2.pred_i
+  WHERE s2.arg_i <> o2.arg_i AND NOT (s2.position IN {_words(frames.BEFORE)} AND o2.position IN {_words(frames.BEFORE)} AND s2.arg_i > o2.arg_i)),
+best2 AS (SELECT * FROM prod2 QUALIFY rank() OVER (PARTITION BY doc_id, sent_id, pred_i ORDER BY n_args DESC) = 1),
+ev AS (SELECT doc_id, sent_id, pred_i, max(n_args) AS n_args, count(*) AS k, regexp_replace(min(nom), 'ion$', 'e') AS verb FROM best2 GROUP BY ALL),
+ids AS (SELECT doc_id, sent_id, pred_i, CAST(row_number() OVER w - 1 AS INT) AS event_id, CAST(coalesce(sum(n_args + 1) OVER (PARTITION BY doc_id, sent_id ORDER BY pred_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS argument_id, n_args,
+  CASE WHEN k > 1 THEN verb || ' (' || k || ')' ELSE verb END AS label FROM ev WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pred_i))
+"""
 
 
 def oracle_sql() -> dict[str, str]:
@@ -112,6 +173,13 @@ def oracle_sql() -> dict[str, str]:
         "unused_candidates": _WITH + "SELECT c.* FROM cand c WHERE NOT EXISTS (SELECT 1 FROM best b WHERE b.doc_id = c.doc_id AND b.sent_id = c.sent_id AND b.pred_i = c.pred_i AND (b.subj_i = c.arg_i OR b.obj_i = c.arg_i))",
         "label_counts": _WITH + "SELECT position, count(*) AS n, count(DISTINCT arg) AS n_args FROM cand GROUP BY position",
         "label_ids": _WITH + "SELECT label, CAST(row_number() OVER (ORDER BY label) - 1 AS INT) AS id FROM (SELECT DISTINCT position AS label FROM cand)",
+        "extract_structures": _TREE + "SELECT * FROM best2",
+        "mention_ids": _TREE + "SELECT * FROM ids",
+        "informative_event": _TREE + "SELECT doc_id, sent_id, event_id FROM ids QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id ORDER BY n_args DESC, event_id) = 1",
+        "golden_diff": _WITH + "SELECT DISTINCT doc_id, sent_id, pred_i FROM (SELECT * FROM prod EXCEPT ALL SELECT * FROM best)",
+        "all_forms": _WITH + "SELECT verb, array_to_string(list_sort(list_distinct(list_append(list(nom), verb))), ',') AS forms FROM pred GROUP BY verb",
+        "balanced_sample": """WITH r AS (SELECT *, row_number() OVER (PARTITION BY toxic ORDER BY doc_id) - 1 AS k, count(*) OVER (PARTITION BY toxic) AS n FROM (SELECT DISTINCT doc_id, toxic FROM labels WHERE toxic IS NOT NULL AND doc_id IS NOT NULL))
+            SELECT doc_id, toxic, unnest(range(k, (SELECT max(n) FROM r), n)) AS turn FROM r""",
         "f1_report": """SELECT label, count(*) FILTER (t = 1 AND ok) AS tp, count(*) FILTER (t = 0 AND NOT ok) AS fp, count(*) FILTER (t = 1 AND NOT ok) AS fn,
             round(2.0 * count(*) FILTER (t = 1 AND ok) / nullif(2.0 * count(*) FILTER (t = 1 AND ok) + count(*) FILTER (NOT ok), 0), 6) AS f1
             FROM (SELECT toxic AS label, 1 AS t, toxic = quality AS ok FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL UNION ALL SELECT quality, 0, toxic = quality FROM labels WHERE toxic IS NOT NULL AND quality IS NOT NULL) GROUP BY label""",
