@@ -1,7 +1,8 @@
 """Toxicity by weak supervision: voters, a generative label model, and a linear classifier on its posteriors.
 
-Lexicon voters are built from words that are far more frequent, by documents, in labelled toxic training rows; pattern
-voters look at shouting, insults close together and insults after a pronoun. The label model estimates by expectation
+Lexicon voters are built from all words and word stems that are far more frequent in labelled toxic training rows; entries of
+like odds form a lexicon, which votes by how many distinct words of a text it has. Pattern voters look at shouting, insults
+close together and insults after a pronoun. The label model estimates by expectation
 maximisation, over all vote patterns of all rows that are not held out (given label included as one more noisy voter),
 each voter's rates in either class; voters that agree beyond what the class explains share their weight. A logistic
 classifier is then trained on the posteriors.
@@ -9,82 +10,148 @@ classifier is then trained on the posteriors.
 
 from __future__ import annotations
 
-import re
+from collections import Counter
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from framewright import scratch
 
-#: Labelled rows used at most to build lexicons (all below that), words of all lexicons, lexicon voters.
-MAX_LABELLED, WORDS, LEXICONS = 500_000, 48, 10
-PRONOUNS = ("you", "du", "ihr", "tu", "vous", "te", "usted", "eres")
+#: Labelled rows used at most to build lexicons (all below that).
+MAX_LABELLED = 500_000
+#: Lexicons, by doublings of the odds, the last one open; distinct finds of a lexicon told apart (2 bits).
+LEXICONS, LEVELS = 5, 3
+#: Letters of a stem; distinct words in toxic rows that make one; words whose entries a worker remembers.
+STEM, FAMILY, REMEMBERED = (3, 16), 3, 400_000
+PRONOUNS = {"you", "du", "ihr", "tu", "vous", "te", "usted", "eres"}
 WORD = r"[\p{L}@$*]+"
+TOKENS = regex.compile(WORD)
+SHOUT = regex.compile(r"!{2,}|\b[A-Z]{4,}\b\s+\b[A-Z]{4,}\b")
+
+
+class Entry(NamedTuple):
+    """A word, or the stem of words that begin with it; its evidence and its lexicon's number."""
+
+    text: str
+    stem: bool
+    z: float
+    lexicon: int
 
 
 def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(doc_id.cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
-def mine_lexicons(rows: DataFrame, words: int = WORDS, lexicons: int = LEXICONS) -> list[list[str]]:
-    """Lexicons from labelled (text, toxic) rows: words in at least 5 toxic rows, by smoothed odds at least 8; dealt round by rank."""
+def mine_lexicons(rows: DataFrame) -> list[Entry]:
+    """Every word and stem of labelled (text, toxic) rows that is in at least 5 toxic rows and has smoothed odds of at least 8.
+
+    A stem counts each distinct word that begins with it in a row. It has at least FAMILY words in toxic rows, none of which makes
+    more than half of its count (else the word stands for itself). No entry is left out for being rarer than others.
+    """
     each = rows.select("toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("w"))
     sizes = {r.toxic: r.n for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect() if r.toxic is not None}
     share = (sizes.get(0, 0) + 1) / (sizes.get(1, 0) + 1)
-    counted = each.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c"))
     odds = (F.col("t") + 0.5) / (F.col("c") + 0.5) * share
     # The evidence: how many standard deviations the toxic count lies above what the clean rate explains.
     expected = (F.col("c") + 1) / share
-    top = counted.filter((F.col("t") >= 5) & (odds >= 8)).withColumn("z", (F.col("t") - expected) / F.sqrt(expected)).orderBy(F.desc("z"), "w").limit(words).collect()
-    strong = [r.w for r in top if r.z >= top[0].z / 4]
-    return [strong[i::lexicons] for i in range(lexicons)]
+    passes = (F.col("t") >= 5) & (odds >= 8)
+    lexicon = F.least(F.floor(F.log2(odds / 8)), F.lit(LEXICONS - 1)).cast("int")
+    what = [F.col("w"), ((F.col("t") - expected) / F.sqrt(expected)).alias("z"), lexicon.alias("lexicon")]
+    words = scratch.written(each.groupBy("w").agg(F.count_if(F.col("toxic") == 1).alias("t"), F.count_if(F.col("toxic") == 0).alias("c")), "toxicity-words")
+    least, most = STEM
+    cuts = F.transform(F.sequence(F.lit(least), F.least(F.length("w") - 1, F.lit(most))), lambda k: F.substr(F.col("w"), F.lit(1), k))
+    stems = words.filter(F.length("w") > least).select("t", "c", F.explode(cuts).alias("w"))
+    stems = stems.groupBy("w").agg(F.sum("t").alias("t"), F.sum("c").alias("c"), F.max("t").alias("top"), F.count_if(F.col("t") > 0).alias("n"))
+    whole = [Entry(r.w, False, r.z, r.lexicon) for r in words.filter(passes).select(*what).collect()]
+    stem = {r.w: Entry(r.w, True, r.z, r.lexicon) for r in stems.filter(passes & (F.col("n") >= FAMILY) & (2 * F.col("top") <= F.col("t"))).select(*what).collect()}
+
+    def count(batches):
+        rows_of = Counter()
+        for b in batches:
+            for t in b.column("text").to_pylist():
+                rows_of.update({w[:k] for w in set(TOKENS.findall(t.lower())) for k in range(least, min(len(w) - 1, most) + 1)} & stem.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(list(rows_of), pa.string()), pa.array(list(rows_of.values()), pa.int64())], ["w", "n"])
+
+    if stem:
+        spread = rows.filter("toxic = 1").select("text").mapInArrow(count, "w string, n long").groupBy("w").agg(F.sum("n").alias("n"))
+        stem = {r.w: stem[r.w] for r in spread.filter("n >= 5").collect()}
+    return sorted([*whole, *stem.values()])
 
 
 class Voters:
-    """Counts of each voter's finds in a text; a vote is a find."""
+    """Distinct words of each lexicon in a text, and finds of the patterns."""
+
+    def __init__(self, entries: list[Entry]):
+        self.words = {e.text: e for e in entries if not e.stem}
+        self.stems = {e.text: e for e in entries if e.stem}
+        self.memory: dict[str, int] = {}
 
-    def __init__(self, lexicons: list[list[str]]):
-        self.of = {w: i for i, lex in enumerate(lexicons) for w in lex}
-        self.n = len(lexicons) + 3
-        alternatives = "|".join(sorted(map(re.escape, self.of), key=len, reverse=True)) or r"(?!)"
-        self.find = re.compile(rf"(?<!\w)(?:{alternatives})(?!\w)")
-        self.after = re.compile(rf"(?<!\w)(?:{'|'.join(PRONOUNS)})\s+(?:\w+\s+){{0,3}}(?:{alternatives})(?!\w)")
-        self.shout = re.compile(r"!{2,}|\b[A-Z]{4,}\b\s+\b[A-Z]{4,}\b")
+    def lexicon(self, word: str) -> int:
+        """The lexicon of the word's entry of most evidence, longer ones first; -1 for none."""
+        found = [e for k in range(STEM[0], min(len(word) - 1, STEM[1]) + 1) if (e := self.stems.get(word[:k]))]
+        found += [e] if (e := self.words.get(word)) else []
+        return max(found, key=lambda e: (e.z, len(e.text))).lexicon if found else -1
 
     def counts(self, text: str) -> list[int]:
+        """The distinct words of each lexicon, then insults close together, insults after a pronoun and shouts."""
         low = text.lower()
-        out = [0] * self.n
-        last = None
-        for m in self.find.finditer(low):
-            out[self.of[m.group()]] += 1
-            if last is not None and m.start() - last < 40:
-                out[-3] += 1
-            last = m.end()
-        if last is not None:
-            out[-2] = len(self.after.findall(low))
-        out[-1] = len(self.shout.findall(text))
+        out = [0] * (LEXICONS + 3)
+        hits = set()
+        if len(self.memory) > REMEMBERED:
+            self.memory.clear()
+        for w in set(TOKENS.findall(low)):
+            k = self.memory.get(w)
+            if k is None:
+                k = self.memory[w] = self.lexicon(w)
+            if k >= 0:
+                out[k] += 1
+                hits.add(w)
+        if hits:
+            last = pronoun = None
+            for i, m in enumerate(TOKENS.finditer(low)):
+                if m.group() in hits:
+                    out[-3] += last is not None and m.start() - last < 40
+                    out[-2] += pronoun is not None and i - pronoun <= 4
+                    last = m.end()
+                elif m.group() in PRONOUNS:
+                    pronoun = i
+        out[-1] = len(SHOUT.findall(text))
         return out
 
+    def votes(self, text: str) -> int:
+        """Two bits for each lexicon's count (LEVELS at most), one for each pattern."""
+        c = self.counts(text)
+        return sum(min(n, LEVELS) << 2 * i for i, n in enumerate(c[:LEXICONS])) + sum((n > 0) << 2 * LEXICONS + i for i, n in enumerate(c[LEXICONS:]))
+
+
+def unpacked(votes: np.ndarray) -> np.ndarray:
+    """A column for each voter: the lexicons' levels, 0 to LEVELS, then the patterns, 0 or 1."""
+    at = np.array([*range(0, 2 * LEXICONS, 2), *range(2 * LEXICONS, 2 * LEXICONS + 3)])
+    return votes[:, None] >> at & np.array([3] * LEXICONS + [1] * 3)
+
 
 def label_model(votes: np.ndarray, count: np.ndarray, label: np.ndarray, rounds: int = 100) -> dict:
-    """Rates of each voter, of the label and of the class from patterns (0/1 votes; label 1, 0 or -1 for none) and their counts."""
+    """Rates of each voter's answers, of the label and of the class from patterns (votes 0 to LEVELS; label 1, 0 or -1 for none) and their counts."""
     x, w = votes.astype(float), count.astype(float)
+    answers = votes[:, :, None] == np.arange(LEVELS + 1)
     q = np.where(label >= 0, 0.05 + 0.9 * label, np.where(x[:, :-1].sum(1) > 0, 0.8, 0.05))
     weight = np.ones(x.shape[1])
     for _ in range(rounds):
         one, none = w * q, w * (1 - q)
         prior = (one.sum() + 1) / (w.sum() + 2)
-        p1, p0 = (one @ x + 1) / (one.sum() + 2), (none @ x + 1) / (none.sum() + 2)
+        p1, p0 = ((np.tensordot(v, answers, 1) + 1) / (v.sum() + LEVELS + 1) for v in (one, none))
         known = label >= 0
         l1, l0 = ((one * known) @ (label == 1) + 8) / ((one * known).sum() + 9), ((none * known) @ (label == 1) + 1) / ((none * known).sum() + 20)
         # Correlation of voters beyond the class: residuals' correlation, shared out as weight.
-        rest = x - (q[:, None] * p1 + (1 - q)[:, None] * p0)
+        rest = x - (q[:, None] * (one @ x / one.sum()) + (1 - q)[:, None] * (none @ x / none.sum()))
         cov = (rest * w[:, None]).T @ rest / w.sum()
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         weight = 1 / np.maximum(1, np.clip(cov / sd / sd[:, None], 0, 1).sum(0))
-        score = np.log(prior / (1 - prior)) + (weight * (x * np.log(p1 / p0) + (1 - x) * np.log((1 - p1) / (1 - p0)))).sum(1)
+        score = np.log(prior / (1 - prior)) + (weight * (answers * np.log(p1 / p0)).sum(2)).sum(1)
         score = score + np.where(label == 1, np.log(l1 / l0), np.where(label == 0, np.log((1 - l1) / (1 - l0)), 0))
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return {"posterior": q, "rates": (p1, p0), "weight": weight, "prior": prior}
@@ -102,36 +169,36 @@ def fit_linear(x: np.ndarray, q: np.ndarray, w: np.ndarray, rounds: int = 30, ri
 
 
 def _features(votes: np.ndarray) -> np.ndarray:
-    v = votes.astype(float)
-    return np.hstack([v, (v[:, :-3].sum(1) > 0).astype(float)[:, None], np.minimum(v[:, :-3].sum(1), 3)[:, None]])
+    """For each lexicon whether it has at least 1, 2, LEVELS distinct words, the patterns, whether any has one and how many all have."""
+    steps = (votes[:, :-3, None] >= np.arange(1, LEVELS + 1)).reshape(len(votes), -1)
+    found = votes[:, :-3].sum(1)[:, None]
+    return np.hstack([steps, votes[:, -3:], found > 0, np.minimum(found, 2 * LEVELS)]).astype(float)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     """Voters and linear weights, learned from rows that are not held out.
 
     Lexicons come from at most about MAX_LABELLED labelled rows; vote patterns are counted over all rows, and there are at
-    most 3 * 2 ** voters of them.
+    most 3 * 2 ** (2 * LEXICONS + 3) of them.
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
     marks = labels.select("doc_id", "toxic").filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
     n = marks.count()
     use = marks if n <= MAX_LABELLED else marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MAX_LABELLED / n * (1 << 30)))
-    lexicons = mine_lexicons(scratch.written(rows.join(use, "doc_id").select("text", "toxic"), "toxicity-labelled"))
-    voters = Voters(lexicons)
+    voters = Voters(mine_lexicons(scratch.written(rows.join(use, "doc_id").select("text", "toxic"), "toxicity-labelled")))
 
     def vote(batches):
         for b in batches:
-            bits = [sum(1 << i for i, c in enumerate(voters.counts(t)) if c) for t in b.column("text").to_pylist()]
+            bits = [voters.votes(t) for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits, pa.int64())], ["doc_id", "votes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     voted = rows.mapInArrow(vote, f"doc_id {kind}, votes long").join(marks, "doc_id", "left")
     found = voted.groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").toPandas()
     if not len(found):
-        return voters, np.array([*[0.0] * (voters.n + 2), -3.0])
-    bits = found["votes"].to_numpy()
-    x = (bits[:, None] >> np.arange(voters.n) & 1).astype(np.int8)
+        return voters, np.array([*[0.0] * (LEXICONS * LEVELS + 3 + 2), -3.0])
+    x = unpacked(found["votes"].to_numpy(np.int64))
     model = label_model(x, found["n"].to_numpy(), found["label"].to_numpy())
     return voters, fit_linear(_features(x), model["posterior"], found["n"].to_numpy(float))
 
@@ -147,7 +214,7 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def each(batches):
         for b in batches:
             texts = b.column("text").to_pylist()
-            v = np.array([voters.counts(t) for t in texts], np.int64).reshape(len(texts), voters.n) > 0
+            v = unpacked(np.array([voters.votes(t) for t in texts], np.int64))
             s = 1 / (1 + np.exp(-np.clip(_features(v) @ weights[:-1] + weights[-1], -30, 30)))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 

@@ -107,6 +107,26 @@ def test_toxicity(spark):
     assert got[1000].predicted == got[1001].predicted == 0
 
 
+def test_toxicity_rare_words(spark):
+    """Words and stems far rarer than the most frequent ones vote too; a single word of a stem is no alarm."""
+    r = random.Random(4)
+    ends = [a + b for a in "bcdfglmnprst" for b in "aeiou"]
+    word = lambda: "".join(r.choice("bcdfglmnprst") + r.choice("aeiou") for _ in range(3))
+    clean = lambda: " ".join(word() for _ in range(25))
+    kinds, rows = {}, []
+    for i in range(3000):
+        k = kinds[i] = "common" if i % 10 == 0 else "rare" if i % 50 == 1 else "stem" if i % 50 == 2 else "once" if i % 50 == 3 else "clean"
+        more = {"common": ["vile", "nasty"], "rare": ["ekelhaft"], "stem": ["xuzq" + e for e in r.sample(ends, 4)], "once": ["xuzq" + r.choice(ends)]}.get(k, [])
+        rows.append((i, " ".join([clean(), *more])))
+    toxic = {i: int(k in ("common", "rare", "stem")) for i, k in kinds.items()}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, t in toxic.items()], "doc_id long, quality int, toxic int")
+    got = {x.doc_id: x.predicted for x in toxicity.scored(docs, labels).collect() if x.held_out}
+    for kind in ("common", "rare", "stem", "once", "clean"):
+        own = [got[i] for i in got if kinds[i] == kind]
+        assert own and (sum(own) >= 0.8 * len(own) if kind in ("common", "rare", "stem") else sum(own) <= 0.1 * len(own)), (kind, sum(own), len(own))
+
+
 def test_jaccard(docs, none, rows):
     sets = {}
     for i, t, *_ in rows:
