@@ -16,6 +16,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright import scratch
@@ -155,6 +156,19 @@ def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """`docs` with one row of each component (that with its smallest doc_id); documents without words all stay. Same columns."""
-    found = classes(docs, shingle, percent).filter("n_shingles > 0 and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(found, docs.doc_id == F.col("_gone"), "left_anti")
+    """`docs` with one row of each component (that with its smallest doc_id); documents without words all stay. Same columns.
+
+    Of rows that share the smallest doc_id the one of the least text stays. Rows with a null doc_id enter the components by an id
+    made of their text, beyond small doc_ids, so that a row with a doc_id is kept rather than its copies without one.
+    """
+    made = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
+    worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
+    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
+    found = classes(named.select(F.col("_id").alias("doc_id"), "text"), shingle, percent).filter("n_shingles > 0")
+    each = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows"))
+    marked = scratch.written(each.filter("_gone or _rows > 1"), "jaccard-marked")
+    several = scratch.written(marked.filter("not _gone").select("_id"), "jaccard-several")  # mostly empty, so that its join sends no texts
+    named = named.withColumn("_id", F.when(worded, F.col("_id")))
+    once = named.join(marked.select("_id"), "_id", "left_anti")
+    again = named.join(several, "_id", "left_semi").withColumn("_row", F.row_number().over(W.partitionBy("_id").orderBy(F.col("doc_id").isNull(), "text")))
+    return once.select(docs.columns).unionByName(again.filter("_row = 1").select(docs.columns))

@@ -143,6 +143,21 @@ def test_jaccard(docs, none, rows):
     assert jaccard.classes(none).count() == 0
 
 
+def test_deduplicated_keeps_one_row_of_each_class(spark):
+    r = random.Random(5)
+    long = lambda: " ".join("".join(r.choice("abcdefgh") for _ in range(6)) for _ in range(90))
+    same, copy, lone, first, second = (long() for _ in range(5))
+    rows = [(1, same), (1, same), (2, same), (None, same), (3, copy), (None, copy + " tail"), (None, copy), (None, lone), (None, lone), (5, first), (5, second), (6, second)]
+    rows += [(None, None), (None, ""), (7, " "), (7, " "), (6, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = jaccard.deduplicated(docs)
+    key = lambda x: (x[0] is None, x[0] or 0, x[1] or "")
+    want = [(1, same), (3, copy), (None, lone), (5, min(first, second)), (None, None), (None, ""), (7, " "), (7, " "), (6, "")]
+    assert sorted(map(tuple, kept.collect()), key=key) == sorted(want, key=key)
+    assert sorted((x.text for x in repeats.without_repeats(kept).collect() if x.text and x.text.strip())) == sorted(t for _, t in want if t and t.strip())
+
+
+
 @pytest.mark.parametrize("group", [1000, 1])
 def test_repeats(docs, none, rows, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
