@@ -203,19 +203,25 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
     return voters, fit_linear(_features(x), model["posterior"], found["n"].to_numpy(float))
 
 
+def _scores(model: tuple[Voters, np.ndarray], texts: list[str | None]) -> np.ndarray:
+    voters, weights = model
+    v = unpacked(np.array([voters.votes(t or "") for t in texts], np.int64))
+    return 1 / (1 + np.exp(-np.clip(_features(v) @ weights[:-1] + weights[-1], -30, 30)))
+
+
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs` (doc_id, text); labels (doc_id, toxic) teach only rows not held out.
 
     Null and empty texts have no votes and get the score of no votes. Repeated rows get a row each, of the same score. Without
     labels all scores are low. An empty table gives an empty result. A null doc_id is not held out. Other columns are ignored.
     """
-    voters, weights = train(docs, labels)
+    return _scored(docs, train(docs, labels))
+
 
+def _scored(docs: DataFrame, model: tuple[Voters, np.ndarray]) -> DataFrame:
     def each(batches):
         for b in batches:
-            texts = b.column("text").to_pylist()
-            v = unpacked(np.array([voters.votes(t) for t in texts], np.int64))
-            s = 1 / (1 + np.exp(-np.clip(_features(v) @ weights[:-1] + weights[-1], -30, 30)))
+            s = _scores(model, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -223,6 +229,13 @@ def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without rows predicted toxic; same columns. Rows of one doc_id go together."""
-    gone = scored(docs, labels).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    """`docs` without rows predicted toxic; same columns. Rows of one doc_id go together, those with a null doc_id each by its own text."""
+    model = train(docs, labels)
+    gone = _scored(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
+
+    def clean(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scores(model, b.column("text").to_pylist()) < 0.5, pa.bool_()))
+
+    kept = docs.filter("doc_id is not null").join(gone, docs.doc_id == F.col("_gone"), "left_anti")
+    return kept.unionByName(docs.filter("doc_id is null").mapInArrow(clean, docs.schema))

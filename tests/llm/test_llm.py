@@ -127,6 +127,18 @@ def test_toxicity_rare_words(spark):
         assert own and (sum(own) >= 0.8 * len(own) if kind in ("common", "rare", "stem") else sum(own) <= 0.1 * len(own)), (kind, sum(own), len(own))
 
 
+def test_toxic_rows_without_doc_id_go(spark):
+    r = random.Random(6)
+    text = lambda bad: " ".join([*(r.choice(["one", "two", "three", "four"]) for _ in range(20)), *(["vile", "rotten"] if bad else [])])
+    rows = [(i, text(i % 6 == 0)) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1, int(i % 6 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame([*rows, (None, text(True)), (None, text(False)), (None, None)], "doc_id long, text string")
+    kept = toxicity.without_toxic(docs, labels)
+    assert kept.columns == docs.columns
+    assert sorted((x.text or "").count("vile") for x in kept.collect() if x.doc_id is None) == [0, 0]
+    assert {x.doc_id for x in kept.collect()} == {None, *(i for i, _ in rows if i % 6)}
+
+
 def test_jaccard(docs, none, rows):
     sets = {}
     for i, t, *_ in rows:
