@@ -2,7 +2,8 @@
 
 A file holds documents in ascending doc_id: a header (magic, documents, blocks), the doc_ids and token counts as
 little-endian 64-bit integers, then blocks of up to BLOCK ids: two 64-bit lengths, control bytes (four 2-bit lengths each) and
-data bytes. The ids are ranks by corpus frequency; the folder's `ranks` file has the id of each rank. Decoding looks the
+data bytes. Documents without a doc_id have files of their own, marked in the magic, with zeros for doc_ids; they come before
+all others. The ids are ranks by corpus frequency; the folder's `ranks` file has the id of each rank. Decoding looks the
 control bytes up in numpy tables. Files cover consecutive ranges of doc_id, and so do their names.
 """
 
@@ -26,7 +27,7 @@ from framewright.llm.native import ordered_buckets
 from framewright.llm.pretokens import FAST, plain
 from framewright.llm.token_counts import tokenizer
 
-MAGIC = b"FWTI\x01\0\0\0"
+MAGIC, NO_IDS = b"FWTI\x01\0\0\0", b"FWTI\x01\x01\0\0"
 BLOCK = 1 << 19
 ROWS_A_FILE = 2000
 #: Bytes of ids that a task holds before it passes them on; words whose ids it remembers.
@@ -92,7 +93,7 @@ CHUNKS = "bucket long, doc_ids binary, counts binary, ids binary"
 
 
 def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """Chunks of (bucket, doc_ids, counts, ids): each task's documents by bucket, compressed. In bucket -2: ids (as doc_ids) and how often they occur."""
+    """Chunks of (bucket, doc_ids, counts, ids): each task's documents by bucket, compressed, zero for a null doc_id. In bucket -2: ids (as doc_ids) and how often they occur."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = word_ids(path)
@@ -111,7 +112,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
                 for k, d, ids in zip(buckets[at : at + 1000], doc_ids[at : at + 1000], words.encode(texts[at : at + 1000]), strict=True):
                     ids += tail
                     x, y, z = held.setdefault(k, ([], [], []))
-                    x.append(d)
+                    x.append(0 if d is None else d)
                     y.append(len(ids) // len(tail))
                     z.append(ids)
                     size += len(ids)
@@ -149,10 +150,12 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, rows_a_file: int =
     """Encode `docs` (doc_id, text) with the tokenizer at `path`, append `end_id` to each, write the files; (folder, manifest).
 
     Each text is encoded once; compressed chunks of ids are kept in the shared folder until ranks are known, and are
-    shuffled to their files by doc_id range. The manifest has bucket, name, n_docs, n_ids of the files of completed tasks.
+    shuffled to their files by doc_id range, those of null doc_ids by hash of the text. The manifest has bucket, name, n_docs, n_ids of the files of completed tasks.
     """
     spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), ordered_buckets(docs, rows_a_file).alias("bucket"))
+    text, unnamed = F.coalesce("text", F.lit("")), docs.filter("doc_id is null").count()
+    bucket = F.when(F.col("doc_id").isNull(), -3 - F.pmod(F.xxhash64(text), F.lit(-(-unnamed // rows_a_file) or 1))).otherwise(ordered_buckets(docs, rows_a_file))
+    rows = docs.select("doc_id", text.alias("text"), bucket.alias("bucket"))
     kind = word_ids(path).kind
     chunks = scratch.written(tokenised(rows, path, end_id), "token-chunks")
     ranks = ranking(chunks)
@@ -167,19 +170,20 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, rows_a_file: int =
         counts = np.concatenate([np.frombuffer(y, "<i8") for _, y, _ in rows])
         ids = np.frombuffer(b"".join(zstandard.ZstdDecompressor().decompress(z) for _, _, z in rows), kind)
         order = np.argsort(doc_ids, kind="stable")
+        magic, name = (NO_IDS, f"ids-none-{-3 - bucket:012d}") if bucket < -2 else (MAGIC, f"ids-{bucket + 1:012d}")
         first = np.cumsum(counts) - counts
         n = int(counts.sum())
         starts = np.repeat(first[order] - (np.cumsum(counts[order]) - counts[order]), counts[order])
 
         def write(out):
-            out.write(MAGIC + struct.pack("<QQ", len(order), -(-n // BLOCK)) + doc_ids[order].tobytes() + counts[order].tobytes())
+            out.write(magic + struct.pack("<QQ", len(order), -(-n // BLOCK)) + doc_ids[order].tobytes() + counts[order].tobytes())
             for at in range(0, n, BLOCK):
                 end = min(n, at + BLOCK)
                 control, data = pack(rank_of[ids[starts[at:end] + np.arange(at, end)]])
                 out.write(struct.pack("<QQ", end - at, len(data)) + control + data)
 
-        files.publish(f"{home}/ids-{bucket + 1:012d}", write)
-        return bucket, f"ids-{bucket + 1:012d}", len(order), n
+        files.publish(f"{home}/{name}", write)
+        return bucket, name, len(order), n
 
     def each(batches):
         now, rows = None, []
@@ -199,12 +203,12 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, rows_a_file: int =
 
 
 def read_blocks(uri: str, ranks: np.ndarray) -> tuple[np.ndarray, np.ndarray, Iterator[np.ndarray]]:
-    """(doc_ids, counts, blocks of ids) of a file."""
+    """(doc_ids, counts, blocks of ids) of a file; the doc_ids are masked where there are none."""
     raw = files.read_range(uri, 0)
-    if raw[:8] != MAGIC:
+    if raw[:8] not in (MAGIC, NO_IDS):
         raise ValueError(f"not a token file: {uri}")
     n, blocks = struct.unpack_from("<QQ", raw, 8)
-    doc_ids, counts = np.frombuffer(raw, "<i8", n, 24), np.frombuffer(raw, "<i8", n, 24 + 8 * n)
+    doc_ids, counts = np.ma.array(np.frombuffer(raw, "<i8", n, 24), mask=raw[:8] == NO_IDS), np.frombuffer(raw, "<i8", n, 24 + 8 * n)
 
     def each():
         at = 24 + 16 * n
@@ -261,6 +265,6 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
     """doc_id, start, n_tokens (with the end id) and ids_crc32 of each document, from files written for `docs` and read back.
 
     Null is the empty text, whose only id is the end id. Repeated rows keep a place each, rows of one doc_id stand side by
-    side; a null doc_id isn't allowed in the format and raises. An empty table gives no file and no row. Other columns are ignored.
+    side; those with a null doc_id stand before all others and come back with it. An empty table gives no file and no row. Other columns are ignored.
     """
     return read_digests(*write_files(docs, path, end_id))

@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +28,8 @@ READ = 1 << 18
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A record's bytes: HTTP response with the payload, or a revisit without it."""
+def record(page_id: int | str, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """A record's bytes: HTTP response with the payload, or a revisit without it. A page without an id has a name of its own, `none:...`."""
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     block = http + (payload if refers_to is None else b"")
     uri = "".join(c if c.isprintable() and c != " " else "%%%02X" % ord(c) for c in url or "about:blank")
@@ -96,9 +97,12 @@ def write(pages: DataFrame) -> tuple[str, DataFrame]:
         return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([len(body)], pa.int64())], ["name", "bytes"])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
+        parts, size, unnamed = [], 0, 0
         for b in batches:
             for p, url, text, digest, keeper in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "keeper")), strict=True):
+                if p is None:
+                    p = f"none:{TaskContext.get().partitionId()}:{unnamed}"
+                    unnamed += 1
                 parts.append(record(p, url, text.encode(), digest, keeper))
                 size += len(parts[-1])
                 if size >= FILE_BYTES:
@@ -185,8 +189,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """page_id, payload_bytes, payload_digest, record_type and refers_to of every record, read back from archives written for `pages`.
 
     Null html is the empty payload, a null url about:blank. Repeated rows of the response's page_id are all responses, those of
-    other page_ids all revisits. Long payloads are read in parts. An empty table gives no file and no row; a null page_id
-    isn't allowed in the format and raises. Other columns are ignored.
+    other page_ids all revisits. Long payloads are read in parts. A row with a null page_id is a response under a record id of
+    its own, and comes back with a null page_id. An empty table gives no file and no row. Other columns are ignored.
     """
     spark = pages.sparkSession
     kind = pages.schema["page_id"].dataType.simpleString()
@@ -198,7 +202,7 @@ def round_trip(pages: DataFrame) -> DataFrame:
             for h, block in zip(b.column("headers").to_pylist(), b.column("block").to_pylist(), strict=True):
                 h, body = dict(h), block.partition(b"\r\n\r\n")[2]
                 whole = h["warc-type"] == "response"
-                number = lambda name: int(h[name].rsplit(":", 1)[1].rstrip(">"))
+                number = lambda name: None if ":none:" in h[name] else int(h[name].rsplit(":", 1)[1].rstrip(">"))
                 out.append((number("warc-record-id"), len(body) if whole else int(h["x-payload-length"]), hashlib.sha1(body).hexdigest() if whole else h["warc-payload-digest"].removeprefix("sha1:"), h["warc-type"], None if whole else number("warc-refers-to")))
             types = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(types)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])

@@ -79,6 +79,27 @@ def test_warc(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_null_ids_have_a_place(spark):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [(None, "a word"), (3, "three"), (None, None), (0, "none"), (-5, "less"), *((None, f"no {i}") for i in range(6))]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    for size in (2000, 2):
+        got = token_files.read_digests(*token_files.write_files(docs, path, rows_a_file=size)).orderBy("start").collect()
+        crc = lambda t: zlib.crc32(np.array([*tokenizer(path).encode(t or "", add_special_tokens=False).ids, 0], "<u4").tobytes())
+        assert [r.doc_id for r in got] == [None] * 8 + [-5, 0, 3]
+        assert sorted(r.ids_crc32 for r in got[:8]) == sorted(crc(t) for i, t in texts if i is None)
+        assert [r.ids_crc32 for r in got[8:]] == [crc("less"), crc("none"), crc("three")]
+        assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:]))
+    only = docs.filter("doc_id is null")
+    assert token_files.round_trip(only, path).filter("doc_id is null").count() == 8
+    pages = [(None, "u", "a" * 1000), (None, "u", "a" * 1000), (1, "u", "a" * 1000), (2, "u", "a" * 1000), (None, None, None)]
+    df = spark.createDataFrame(pages, "page_id long, url string, html string")
+    home, manifest = warc.write(df)
+    assert len({r.headers["warc-record-id"] for r in warc.read(spark, home, manifest).collect()}) == 5
+    found = [(r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.round_trip(df).collect()]
+    assert sorted(found, key=str) == sorted([(1, 1000, "revisit", 2), (2, 1000, "response", None), (None, 0, "response", None), *[(None, 1000, "response", None)] * 2], key=str)
+
+
 def test_chains_reject_what_is_not_reached():
     assert warc.reachable(np.array([0, 5, 10, 12]), np.array([10, 10, 20, 20])).tolist() == [True, False, True, False]
     assert warc.reachable(np.array([3]), np.array([9])).tolist() == [False]
