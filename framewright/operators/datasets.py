@@ -13,14 +13,14 @@ SAMPLE = "sentence string, predicate_idx int, predicate_lemma string, is_verb bo
 
 
 def arg_samples(found: DataFrame) -> DataFrame:
-    """A training row for each argument whose span has one type and whose type has one span among a predicate's extractions; PP1 and PP2 count as PP."""
-    name = F.when(F.col("a.name").isin("PP1", "PP2"), "PP").otherwise(F.col("a.name"))
+    """A training row for each argument whose span has one type and whose type has one span among a predicate's extractions, without arguments on the predicate itself; PP1 and PP2 are tested apart and named PP."""
+    renamed = F.when(F.col("label").isin("PP1", "PP2"), "PP").otherwise(F.col("label"))
     text = F.array_join(F.transform("toks", lambda t: t["orth"]), " ")
-    rows = found.select(*PREDICATE, "is_verb", "verb", text.alias("sentence"), F.get("toks", F.col("pred_i"))["lemma"].alias("predicate_lemma"), F.explode("args").alias("a")).withColumn("label", name)
-    rows = rows.filter(F.col("label").isin(C.LABELS)).select("*", "a.head_i", "a.start", "a.end", "a.text").drop("a").distinct()
+    rows = found.select(*PREDICATE, "is_verb", "verb", text.alias("sentence"), F.get("toks", F.col("pred_i"))["lemma"].alias("predicate_lemma"), F.explode("args").alias("a")).withColumn("label", F.col("a.name"))
+    rows = rows.filter(renamed.isin(C.LABELS)).select("*", "a.head_i", "a.start", "a.end", "a.text").drop("a").distinct()
     by_span, by_label = W.partitionBy(*PREDICATE, "start", "end"), W.partitionBy(*PREDICATE, "label")
     one = lambda c, w: (F.min(c).over(w) == F.max(c).over(w))
-    kept = rows.withColumn("_ok", one("label", by_span) & one("start", by_label) & one("end", by_label)).filter("_ok")
+    kept = rows.withColumn("_ok", one("label", by_span) & one("start", by_label) & one("end", by_label)).filter("_ok and head_i <> pred_i").withColumn("label", renamed)
     return kept.select("sentence", F.col("pred_i").alias("predicate_idx"), "predicate_lemma", "is_verb", "verb", F.col("head_i").alias("arg_head_idx"), F.col("start").alias("arg_start_idx"), F.col("end").alias("arg_end_idx"), F.col("text").alias("arg"), "label", F.lit("ARGS").alias("tagset_type"))
 
 

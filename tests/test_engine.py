@@ -124,6 +124,16 @@ def test_samples_and_markers(spark, found, tokens):
     assert sorted((r.task, r.turn, r.k) for r in datasets.balanced(tasks, "task", "k").collect()) == [("a", 0, 1), ("a", 1, 2), ("a", 2, 3), ("b", 0, 4), ("b", 1, 5), ("b", 2, 4)]
 
 
+def test_samples_test_pp1_and_pp2_apart(spark, found):
+    """One PP1 span and one PP2 span give a row each; an argument on the predicate gives none."""
+    base = found.filter("is_verb").limit(1)
+    kind = base.schema["args"].dataType.simpleString()
+    one = lambda name, i: f"named_struct('name', '{name}', 'type', 'PP', 'head_i', {i}, 'position', null, 'start', {i}, 'end', {i} + 1, 'text', 't')"
+    given = base.withColumn("args", F.expr(f"cast(array({one('PP1', 0)}, {one('PP2', 2)}, {one('SUBJECT', 1)}) as {kind})")).withColumn("pred_i", F.lit(1))
+    assert sorted((r.arg_head_idx, r.label) for r in datasets.arg_samples(given).collect()) == [(0, "PP"), (2, "PP")]
+
+
+
 def test_roles(spark):
     rows = [("Tim", "OBJECT", -0.1), ("Tim", "SUBJECT", -3.0), ("Tim", "NONE", -4.0), ("Apple", "OBJECT", -1.0), ("Apple", "SUBJECT", -1.2), ("Apple", "NONE", -2.0), ("x", "NONE", -0.1), ("x", "SUBJECT", -3.0)]
     scores = spark.createDataFrame([(1, *r) for r in rows], "p int, cand string, label string, logp double")
