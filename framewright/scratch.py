@@ -8,12 +8,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _SETTING = "spark.checkpoint.dir"
+#: With it, Spark deletes a query's shuffle files when the query ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), one of our own is made and kept in the session."""
+    """The cluster's shared folder; where a local session names none (tests), one of our own is made and kept in the session."""
     found = spark.conf.get(_SETTING, None) or spark.sparkContext.getConf().get(_SETTING)
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError(f"{_SETTING} must name a folder that all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="framewright-")
         spark.conf.set(_SETTING, found)
     return found.rstrip("/")
@@ -25,10 +29,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and return a scan of it."""
-    path = new_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write `df` as Parquet in the shared folder and return a scan of it; the shuffle files it took are deleted."""
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.scratch_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that `written` has returned, when all that was computed from them is written too."""
+    for df in tables:
+        drop(df.sparkSession, df.scratch_path)
 
 
 def drop(spark: SparkSession, path: str) -> None:
