@@ -1,108 +1,161 @@
 """Removal of byte strings of a minimum length that occur more than once, within and across documents.
 
-Equal texts are one text with a count. In every window of the minimum length the anchor (a short run of bytes) of the least
-hash is marked, so any two equal strings of that length have an equal anchor at an equal place. Anchors that occur once
-are done; around the others lies a fragment that holds every such string about the anchor. Equal fragments are counted,
-and of the distinct ones about an anchor, blocks are searched: prefix doubling sorts a block's suffixes, and breadth-first
+In every window of the minimum length the anchor (a short run of bytes) of the least hash is marked, so any two equal windows
+have an equal anchor at an equal place. The windows of one anchor are a fragment. Equal fragments are counted by hash; what is
+in two places is a repeat as it stands. Of the others, windows by their distance from the anchor form pieces: all windows of a
+piece hold a common core of bytes, so equal windows lie in pieces of equal cores, and only pieces whose core occurs again are
+searched. A group of pieces (one core) goes whole to one block. There the block's suffixes are sorted, and breadth-first
 backward extension on its Burrows-Wheeler transform derives common prefixes in increasing order and stops at the minimum
-length; what has no value by then is a repeat. Anchors with more than GROUP distinct fragments, which no task should hold,
-have the hashes of all their strings counted instead, spread over all tasks. Both ways are exact (up to 64-bit hashes in the second).
+length; what has no value by then is a repeat. A group too large for a block is dealt anew by longer cores: each piece is
+halved, equal halves are counted, and so on; a core that is as long as a window holds one window, and its group needs no search.
+Nothing is left out: equality is by 64-bit hashes within groups of equal 64-bit hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright import scratch
-from framewright.llm.shingles import _BYTE, _INVERSE, AT_ONCE, BASE, mix, powers
+from framewright.llm.shingles import _BYTE, _INVERSE, BASE, mix, powers
 
 LENGTH, ANCHOR = 400, 64
-#: Distinct fragments of an anchor that go to one block; bytes of a block.
-GROUP, BLOCK = 1000, 1 << 20
+#: Bytes of a group that goes to one block, and of all a block has besides its last group.
+GROUP, BLOCK = 1_000_000, 1_000_000
+#: Bytes that are hashed in one go, and the bits of a place among them.
+AT_ONCE, PLACE = 1 << 19, np.uint64(20)
+#: Texts that a task remembers to skip their copies.
+SEEN = 100_000
+#: Bits of a place in a block (two groups at most); intervals of more rows are extended symbol by symbol.
+ROW, WIDE = 21, 32
 _UP, _DOWN = powers(BASE, AT_ONCE + 1), powers(_INVERSE, AT_ONCE + 1)
-
-
-def rolling(b: np.ndarray, width: int) -> np.ndarray:
-    """A 64-bit hash of each run of `width` bytes."""
-    out = []
-    for at in range(0, max(0, len(b) - width + 1), AT_ONCE - width):
-        part = b[at : at + AT_ONCE - 1]
-        sums = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(_BYTE[part] * _UP[: len(part)], out=sums[1:])
-        n = len(part) - width + 1
-        out.append(mix((sums[width:] - sums[:n]) * _DOWN[:n]))
-    return np.concatenate(out) if out else np.zeros(0, np.uint64)
-
-
-def anchors(b: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the leftmost least anchor of each window of `length` bytes."""
-    if len(b) < length:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    h, w = rolling(b, anchor), length - anchor + 1
-    # Sliding minima by blocks of w: the least of a suffix of one block and a prefix of the next.
-    n = -(-len(h) // w) * w
-    padded = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    padded[: len(h)] = h
-    ahead = np.minimum.accumulate(padded.reshape(-1, w), 1).ravel()
-    behind = np.minimum.accumulate(padded.reshape(-1, w)[:, ::-1], 1)[:, ::-1].ravel()
-    starts = np.arange(len(h) - w + 1)
-    least = np.minimum(behind[starts], ahead[starts + w - 1])
-    # The first place at or after a window's start with the window's least hash.
-    order = np.lexsort((np.arange(len(h)), h))
-    ranked = h[order]
-    value, base = np.unique(ranked, return_index=True)
-    group = np.searchsorted(value, h)
-    keys = group[order] * np.int64(len(h) + 1) + order
-    at = np.unique(order[np.searchsorted(keys, np.searchsorted(value, least) * np.int64(len(h) + 1) + starts)])
-    return at, h[at]
+_MOST = np.iinfo(np.uint64).max
+FRAGMENT = "k1 long, k2 long, s long, n int, x int, h long, f long, w0 long, w1 long"
+PIECE = "w long, k1 long, k2 long, s long, x int, d int, own boolean, raw binary"
+
+
+def stretches(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(first text, start, ends) of stretches of at most AT_ONCE bytes of texts that end at `ends`; a longer text is cut, with overlaps."""
+    first, start = 0, 0
+    while first < len(ends):
+        last = int(np.searchsorted(ends, start + AT_ONCE, "right"))
+        if last > first:
+            yield first, start, ends[first:last]
+        else:
+            last, end = first + 1, int(ends[first])
+            for at in range(start, max(start + 1, end - length + 1), AT_ONCE - length):
+                yield first, at, np.array([min(end, at + AT_ONCE - 1)])
+        first, start = last, int(ends[last - 1])
+
+
+def fragments(b: np.ndarray, ends: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
+    """(text, s, n, x, h, f, w0, w1): each fragment of the texts in `b` that end at `ends`.
+
+    s is its start in b, n its bytes, x the place of its anchor from s, h and f the anchor's and its own hash, w0 and w1 the
+    cores of its windows less than half the greatest distance before the anchor, and of those from there (0 where it has none).
+    """
+    half = half_way(length, anchor)
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * _UP[: len(b)], out=sums[1:])
+    h = mix((sums[anchor:] - sums[: len(b) - anchor + 1]) * _DOWN[: len(b) - anchor + 1])
+    w = length - anchor + 1
+    # Hash and place in one number: the least is the leftmost of the least hash. Minima over w by blocks of w.
+    marked = np.full(-(-len(h) // w) * w, _MOST, np.uint64)
+    marked[: len(h)] = h >> PLACE << PLACE | np.arange(len(h), dtype=np.uint64)
+    ahead = np.minimum.accumulate(marked.reshape(-1, w), 1).ravel()
+    behind = np.minimum.accumulate(marked.reshape(-1, w)[:, ::-1], 1)[:, ::-1].ravel()
+    k = len(b) - length + 1
+    at = (np.minimum(behind[:k], ahead[w - 1 : w - 1 + k]) & np.uint64((1 << int(PLACE)) - 1)).astype(np.int64)
+    sizes = np.diff(ends, prepend=0)
+    start = np.flatnonzero(np.repeat(ends, sizes)[:k] >= np.arange(length, length + k))
+    if not len(start):
+        return tuple(np.zeros(0, np.int64) for _ in range(8))
+    at = at[start]
+    first = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (start[1:] != start[:-1] + 1)]))
+    s, e = start[first], start[np.concatenate([first[1:], [len(start)]]) - 1] + length
+    p = at[first]
+    whole = lambda i, j: mix((sums[j] - sums[i]) * _DOWN[i] + (j - i).astype(np.uint64))
+    core = length - half + 1
+    w0 = np.where(p - (e - length) < half, whole(p, np.minimum(p + core, len(b))), 0)
+    far = np.maximum(p - half, 0)
+    w1 = np.where(p - s >= half, whole(far, np.minimum(far + core, len(b))) ^ np.uint64(1), 0)
+    return np.searchsorted(ends, s, "right"), s, e - s, p - s, h[p], whole(s, e), w0, w1
+
+
+def half_way(length: int, anchor: int) -> int:
+    return (length - anchor + 2) // 2
+
+
+def _dense(t: np.ndarray) -> tuple[np.ndarray, int]:
+    """Symbols numbered without gaps, and how many there are."""
+    there = np.zeros(258, np.int64)
+    there[t] = 1
+    return (np.cumsum(there) - 1)[t], int(there.sum())
 
 
 def suffix_order(t: np.ndarray, depth: int) -> np.ndarray:
-    """Rotations of t in the order of their first `depth` symbols or more."""
-    key = np.zeros(len(t), np.int64)
-    for i in range(7):
-        key = key * 259 + np.roll(t, -i)
-    order = np.argsort(key, kind="stable")
-    width = 7
+    """Rotations of t (fewer than 1 << ROW) in the order of their first `depth` symbols or more, by prefix doubling: ranks and place in one sorted number."""
+    n, bits = len(t), max(1, int(len(t) - 1).bit_length())
+    symbols, kinds = _dense(t)
+    width = max(1, int((63 - bits) / np.log2(max(2, kinds))))
+    places = np.arange(n, dtype=np.int64)
+    key, rank = np.zeros(n, np.int64), np.empty(n, np.int64)
+    for i in range(width):
+        key = key * kinds + np.roll(symbols, -i)
     while True:
-        rank = np.empty(len(t), np.int64)
-        sorted_ = key[order]
-        rank[order] = np.cumsum(np.concatenate([[0], sorted_[1:] != sorted_[:-1]]))
+        key = np.sort(key << bits | places)
+        order = key & (1 << bits) - 1
+        key >>= bits
+        rank[order] = np.cumsum(np.concatenate([[0], key[1:] != key[:-1]]))
         if width >= depth:
             return order
-        key = rank * np.int64(len(t)) + np.roll(rank, -width)
-        order = np.argsort(key, kind="stable")
+        key = rank << bits | np.roll(rank, -width)
         width *= 2
 
 
 def repeat_bounds(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     """For each row of the sorted rotations, whether it has a common prefix of `length` with the row before."""
     n = len(t)
-    bwt = t[order - 1]
-    symbols, counts = np.unique(bwt, return_counts=True)
+    bwt, kinds = _dense(t[order - 1])
+    counts = np.bincount(bwt, minlength=kinds)
     base = np.cumsum(counts) - counts
+    by_symbol = np.argsort(bwt.astype(np.uint16), kind="stable")
     to = np.empty(n, np.int64)
-    to[np.argsort(bwt, kind="stable")] = np.arange(n)
-    places = [np.flatnonzero(bwt == s) for s in symbols]
+    to[by_symbol] = np.arange(n)
+    places = np.split(by_symbol, base[1:])
+    opens = np.zeros(n + 1, bool)  # rows at which another first symbol begins
+    opens[base] = True
     known = np.zeros(n + 1, bool)
     known[[0, n]] = True
     low, high = np.array([0]), np.array([n])
     for _ in range(length):
         if not len(low):
             break
-        one = high - low == 1
-        lows, highs = [to[low[one]]], [to[low[one]] + 1]
-        low, high = low[~one], high[~one]
-        for place, start in zip(places, base, strict=True) if len(low) else ():
-            x, y = np.searchsorted(place, low), np.searchsorted(place, high)
-            some = x < y
-            lows.append(start + x[some])
-            highs.append(start + y[some])
+        size = high - low
+        one = to[low[size == 1]]
+        lows, highs = [one], [one + 1]
+        some = (size > 1) & (size <= WIDE)
+        if some.any():
+            # The rows of each interval by where they go: runs of neighbours with one first symbol are the intervals one symbol longer.
+            x, m = low[some], size[some]
+            ends = np.cumsum(m)
+            rows = np.arange(ends[-1]) + np.repeat(x - (ends - m), m)
+            gone = np.sort(np.repeat(np.arange(len(x)), m) << ROW | to[rows])
+            cut = np.flatnonzero(np.concatenate([[True], (gone[1:] != gone[:-1] + 1) | opens[gone[1:] & (1 << ROW) - 1]]))
+            gone &= (1 << ROW) - 1
+            lows.append(gone[cut])
+            highs.append(gone[np.concatenate([cut[1:], [len(gone)]]) - 1] + 1)
+        if (wide := size > WIDE).any():
+            for place, start in zip(places, base, strict=True):
+                x, y = np.searchsorted(place, low[wide]), np.searchsorted(place, high[wide])
+                there = x < y
+                lows.append(start + x[there])
+                highs.append(start + y[there])
         low, high = np.concatenate(lows), np.concatenate(highs)
         new = ~known[high]
         low, high = low[new], high[new]
@@ -110,133 +163,216 @@ def repeat_bounds(t: np.ndarray, order: np.ndarray, length: int) -> np.ndarray:
     return ~known[:n]
 
 
-def block_repeats(fragments: list[tuple[bytes, int, bytes]], length: int) -> list[tuple[bytes, int, int]]:
-    """(key, start, end) of the parts of (key, start, bytes) fragments that stand at two places or more."""
-    sizes = np.array([len(x) + 1 for _, _, x in fragments])
-    t = np.full(int(sizes.sum()) + 1, 1, np.int64)
+def block_repeats(pieces: list[bytes], who: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(piece, first, last): the first and last window in each piece that stands in two places or more; `who` names a piece's place."""
+    sizes = np.array([len(x) + 1 for x in pieces])
+    ends = np.cumsum(sizes)
+    t = np.frombuffer(b"\0".join([*pieces, b"\0"]), np.uint8).astype(np.int64) + 2
+    t[ends - 1] = 1
     t[-1] = 0
-    ids = {k: i for i, k in enumerate(sorted({k for k, _, _ in fragments}))}
-    who, place, left = (np.zeros(len(t), np.int64) for _ in range(3))
-    at = 0
-    for k, start, raw in fragments:
-        end = at + len(raw)
-        t[at:end] = np.frombuffer(raw, np.uint8)
-        t[at:end] += 2
-        who[at:end], place[at:end], left[at:end] = ids[k], np.arange(start, start + len(raw)), np.arange(len(raw), 0, -1)
-        at = end + 1
     order = suffix_order(t, length)
     same = repeat_bounds(t, order, length)
-    run = np.flatnonzero(~same)
-    spot = (who * (int(place.max()) + 1) + place)[order]
-    several = np.minimum.reduceat(spot, run) != np.maximum.reduceat(spot, run)
-    found = order[np.repeat(several, np.diff(np.append(run, len(t))))]
-    found = found[left[found] >= length]
-    spots = np.unique(np.stack([who[found], place[found]], 1), axis=0)
-    keys = sorted(ids)
-    return [(keys[int(w)], s, e) for w in np.unique(spots[:, 0]) for s, e in spans(spots[spots[:, 0] == w, 1], length)]
-
-
-def spans(starts: np.ndarray, length: int) -> list[tuple[int, int]]:
-    """Maximal runs covered by strings of `length` at ascending starts."""
-    if not len(starts):
+    # Only rows in runs of equal prefixes count, and of those the ones that start a window.
+    rows = np.flatnonzero(same | np.concatenate([same[1:], [False]]))
+    if not len(rows):
         return []
-    cut = np.flatnonzero(np.diff(starts) > length) + 1
-    return [(int(x[0]), int(x[-1]) + length) for x in np.split(starts, cut)]
-
+    at = order[rows]
+    piece = np.searchsorted(ends, at, "right")
+    full = np.minimum(piece, len(pieces) - 1)
+    window = (piece < len(pieces)) & (ends[full] - 1 - at >= length)
+    run = np.cumsum(~same[rows])[window]
+    at, piece = at[window], piece[window]
+    if not len(at):
+        return []
+    offset = at - (ends - sizes)[piece]
+    spot = who[piece] * (int(sizes.max()) + 1) + offset
+    first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+    several = np.minimum.reduceat(spot, first) != np.maximum.reduceat(spot, first)
+    hit = np.repeat(several, np.diff(np.append(first, len(at))))
+    low, high = np.full(len(pieces), 1 << 60), np.full(len(pieces), -1)
+    np.minimum.at(low, piece[hit], offset[hit])
+    np.maximum.at(high, piece[hit], offset[hit])
+    return [(int(i), int(low[i]), int(high[i])) for i in np.flatnonzero(high >= 0)]
 
-def _around(p: int, n: int, length: int, anchor: int) -> tuple[int, int]:
-    return max(0, p - (length - anchor)), min(n, p + length)
 
+def _sums(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of a string column and where each text ends."""
+    big = array.cast(pa.large_string())
+    offsets = np.frombuffer(big.buffers()[1], np.int64)[big.offset : big.offset + len(big) + 1]
+    raw = np.frombuffer(big.buffers()[2] or b"", np.uint8)
+    return raw[offsets[0] : offsets[-1]], offsets[1:] - offsets[0]
 
-def _signed(h: np.ndarray) -> pa.Array:
-    return pa.array(h.astype(np.int64), pa.int64())
 
+def _marks(texts: DataFrame, length: int, anchor: int) -> DataFrame:
+    """The fragments of (k1, k2, text)."""
 
-def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> tuple[DataFrame, DataFrame]:
-    """(rows: doc_id, n_bytes, key of the text; found: key, spans as array<struct<s, e>>, merged and ascending)."""
-    docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.unhex(F.md5("text")))
-    rows = scratch.written(docs.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), "key"), "repeat-rows")
-    groups = scratch.written(rows.filter(F.col("n_bytes") >= length).groupBy("key").agg(F.count(F.lit(1)).alias("copies"), F.first("n_bytes").alias("n_bytes")), "repeat-texts")
+    def each(batches):
+        for batch in batches:
+            k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            raw, ends = _sums(batch.column("text"))
+            before = ends - np.diff(ends, prepend=0)
+            for first, start, stops in stretches(ends, length):
+                if stops[-1] - start < length:
+                    continue
+                text, s, n, x, h, f, w0, w1 = fragments(raw[start : stops[-1]], stops - start, length, anchor)
+                text += first
+                cols = [k1[text], k2[text], s + start - before[text], n.astype(np.int32), x.astype(np.int32), *(v.astype(np.uint64).view(np.int64) for v in (h, f, w0, w1))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], [c.split()[0] for c in FRAGMENT.split(", ")])
+
+    return texts.mapInArrow(each, FRAGMENT)
+
+
+def _search(pieces: DataFrame, length: int) -> DataFrame:
+    """(k1, k2, s, e) of the repeats in groups of pieces of one core w, each small enough for a block."""
+
+    def found(held):
+        names = {}
+        who = np.array([names.setdefault((x[1], x[2], x[3]), len(names)) for x in held])
+        out = [(held[i][1], held[i][2], held[i][3] + a, held[i][3] + b + length) for i, a, b in block_repeats([x[4] for x in held], who, length)]
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(4)], ["k1", "k2", "s", "e"])
 
-    def mark(batches):
+    def each(batches):
+        held, size = [], 0
         for b in batches:
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist(), strict=True):
-                raw = text.encode()
-                at, h = anchors(np.frombuffer(raw, np.uint8), length, anchor)
-                content = []
-                for p in at.tolist():
-                    s, e = _around(p, len(raw), length, anchor)
-                    content.append(int.from_bytes(hashlib.blake2b(raw[s:e], digest_size=8).digest(), "little", signed=True))
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.binary()), pa.array(at, pa.int64()), _signed(h), pa.array(content, pa.int64())], ["key", "p", "h", "f"])
-
-    # One row of each group of equal texts goes on: duplicates leave as (key, p) pairs fall together.
-    marks = docs.filter(F.octet_length("text") >= length).mapInArrow(mark, "key binary, p long, h long, f long")
-    marks = scratch.written(marks.groupBy("key", "p").agg(F.first("h").alias("h"), F.first("f").alias("f")), "repeat-anchors")
-    per = marks.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("key", "p")).alias("at"))
-    per = scratch.written(per, "repeat-fragments")
-    groups_of = per.groupBy("h").agg(F.count(F.lit(1)).alias("kinds"), F.sum("c").alias("total")).filter("total > 1")
-    n = F.col("n_bytes")
-    lo = lambda p: F.greatest(F.lit(0), F.col(p) - (length - anchor)).cast("long")
-    hi = lambda p: F.least(n, F.col(p) + length).cast("long")
-    twice = marks.join(per.filter("c > 1").select("h", "f"), ["h", "f"]).join(groups.select("key", "n_bytes"), "key").select("key", lo("p").alias("s"), hi("p").alias("e"))
-    copies = groups.filter("copies > 1").select("key", F.lit(0).cast("long").alias("s"), n.alias("e"))
-
-    wanted = per.join(groups_of.filter("kinds > 1"), "h").select(F.col("at.key").alias("key"), F.col("at.p").alias("p"), "h", "kinds")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("p", "h", "kinds")).alias("ps"))
-    texts = docs.join(wanted.select(F.col("key").alias("k2"), "ps"), F.col("key") == F.col("k2")).select("key", "text", "ps")
+            for x in zip(*(b.column(c).to_pylist() for c in ("w", "k1", "k2", "s", "raw")), strict=True):
+                if size > BLOCK and x[0] != held[-1][0]:
+                    yield found(held)
+                    held, size = [], 0
+                held.append(x)
+                size += len(x[4]) + 1
+        if held:
+            yield found(held)
 
-    def cut(batches):
-        for b in batches:
-            for key, text, ps in zip(*(b.column(c).to_pylist() for c in ("key", "text", "ps")), strict=True):
-                raw = text.encode()
-                got = [(x["p"], x["h"], x["kinds"], *_around(x["p"], len(raw), length, anchor)) for x in ps]
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(got), pa.binary()), *(pa.array([x[i] for x in got], pa.int64()) for i in (0, 1, 2, 3)), pa.array([raw[x[3] : x[4]] for x in got], pa.binary())], ["key", "p", "h", "kinds", "s", "raw"])
+    dealt = pieces.select("w", "k1", "k2", "s", "raw").repartition("w").sortWithinPartitions("w")
+    return dealt.mapInArrow(each, "k1 long, k2 long, s long, e long")
 
-    pieces = texts.mapInArrow(cut, "key binary, p long, h long, kinds long, s long, raw binary")
-    pieces = scratch.written(pieces.dropDuplicates(["key", "p"]), "repeat-pieces")
-    last = pieces.agg(F.sum(F.when(F.col("kinds") <= GROUP, F.octet_length("raw")))).first()[0] or 0
-    blocks = max(1, int(last) // BLOCK * 2)
 
-    def search(batches):
-        held, size, now = [], 0, None
-        out = lambda x: pa.RecordBatch.from_arrays([pa.array([r[0] for r in x], pa.binary()), pa.array([r[1] for r in x], pa.int64()), pa.array([r[2] for r in x], pa.int64())], ["key", "s", "e"])
-        for b in batches:
-            for key, s, h, raw in zip(*(b.column(c).to_pylist() for c in ("key", "s", "h", "raw")), strict=True):
-                if size > BLOCK and h != now:
-                    yield out(block_repeats(held, length))
-                    held, size = [], 0
-                now = h
-                held.append((key, s, raw))
-                size += len(raw)
-        if held:
-            yield out(block_repeats(held, length))
+def _hash(raw: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(raw, digest_size=8).digest(), "little", signed=True)
 
-    small = pieces.filter(F.col("kinds") <= GROUP).select("key", "s", "h", "raw").repartition(blocks, "h").sortWithinPartitions("h")
-    found = small.mapInArrow(search, "key binary, s long, e long")
 
-    def each_string(batches):
-        for b in batches:
-            for key, s, raw in zip(*(b.column(c).to_pylist() for c in ("key", "s", "raw")), strict=True):
-                h = rolling(np.frombuffer(raw, np.uint8), length)
-                yield pa.RecordBatch.from_arrays([pa.array([key] * len(h), pa.binary()), pa.array(np.arange(s, s + len(h)), pa.int64()), _signed(h)], ["key", "s", "w"])
+def _halved(pieces: DataFrame, g: int, length: int) -> DataFrame:
+    """Pieces of at most g distances each, with the hash f of their bytes, from pieces of more."""
 
-    strings = scratch.written(pieces.filter(F.col("kinds") > GROUP).mapInArrow(each_string, "key binary, s long, w long"), "repeat-strings")
-    hot = strings.groupBy("w").agg(F.min(F.struct("key", "s")).alias("x"), F.max(F.struct("key", "s")).alias("y")).filter("x <> y").select("w")
-    hot = strings.join(hot, "w").select("key", "s", (F.col("s") + length).alias("e"))
+    def each(batches):
+        for b in batches:
+            out = []
+            for k1, k2, s, x, d, own, raw in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "s", "x", "d", "own", "raw")), strict=True):
+                last = len(raw) - length
+                for near in (d, d + g):
+                    # Windows whose distance to the anchor, x - i, is in [near, near + g).
+                    i, j = max(0, x - near - g + 1), min(last, x - near)
+                    if i <= j:
+                        part, core = raw[i : j + length], raw[x - near : x - near + length - g + 1]
+                        out.append((_hash(core + near.to_bytes(4, "little")), k1, k2, s + i, x - i, near, own, part, _hash(part)))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], names)
+
+    names = ["w", "k1", "k2", "s", "x", "d", "own", "raw", "f"]
+    return pieces.mapInArrow(each, PIECE + ", f long")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, text (null as empty) and the text's 128-bit key k1, k2."""
+    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", *_key(F.col("text")))
+
+
+def _key(text: Column) -> list[Column]:
+    return [F.xxhash64(text).alias("k1"), F.xxhash64(F.lit(1), text).alias("k2")]
+
+
+def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
+    """k1, k2 of each text with repeats, and its spans: array<struct<s, e>>, in no order, overlapping."""
+    texts = keyed(docs).filter(F.octet_length("text") >= length).drop("doc_id")
+    copies = texts.select("k1", "k2", F.octet_length("text").cast("long").alias("e")).groupBy("k1", "k2").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("c"))
+    copies = scratch.written(copies.filter("c > 1").select("k1", "k2", F.lit(0).cast("long").alias("s"), "e"), "repeat-copies")
+    marks = scratch.written(_marks(texts, length, anchor), "repeat-marks")
+    half = half_way(length, anchor)
+    firsts = [F.first(c).alias(c) for c in ("k1", "k2", "s", "n", "x", "w0", "w1")]
+    per = scratch.written(marks.groupBy("h", "f").agg(F.count(F.lit(1)).alias("c"), *firsts), "repeat-fragments")
+    again = per.filter("c > 1").select("h", "f")
+    twice = marks.join(again, ["h", "f"]).select("k1", "k2", "s", (F.col("s") + F.col("n")).alias("e")).distinct()
+    twice = scratch.written(twice, "repeat-twice")
+    scratch.discard(marks)
+
+    # Pieces whose core is in another fragment too, in a group with one at least that isn't a repeat as it stands.
+    spot, single = [F.col(c) for c in ("k1", "k2", "s", "n", "x")], F.col("c") == 1
+    cores = per.select(*spot, single.alias("own"), F.explode(F.array(F.struct(F.col("w0").alias("w"), F.lit(0).alias("d")), F.struct(F.col("w1").alias("w"), F.lit(half).alias("d")))).alias("core"))
+    cores = cores.select(*spot, "own", "core.w", "core.d").filter("w <> 0")
+    shared = cores.groupBy("w").agg(F.count(F.lit(1)).alias("kinds"), F.max("own").alias("open")).filter("kinds > 1 and open").select("w")
+    wanted = scratch.written(cores.join(shared, "w"), "repeat-wanted")
+    scratch.discard(per)
+    asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("w", "s", "n", "x", "d", "own")).alias("ps"))
 
-    # A rep's own repeats, and those of the texts whose equal fragments it stood for, which `twice` has whole.
-    every = twice.unionByName(copies).unionByName(found).unionByName(hot).distinct()
-    merged = every.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("s", "e"))).alias("all"))
-    join = lambda acc, x: F.when((F.size(acc) > 0) & (F.element_at(acc, -1)["e"] >= x["s"]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1)["s"].alias("s"), F.greatest(F.element_at(acc, -1)["e"], x["e"]).alias("e"))))).otherwise(F.concat(acc, F.array(x)))
-    none = F.array().cast("array<struct<s:bigint,e:bigint>>")
-    return docs, scratch.written(merged.select("key", F.aggregate("all", none, join).alias("spans")), "repeat-spans")
+    def cut(batches):
+        seen = set()
+        for b in batches:
+            out = []
+            if len(seen) > SEEN:
+                seen.clear()
+            for k1, k2, text, ps in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "ps")), strict=True):
+                if (k1, k2) in seen:  # pieces of copies are harmless, but cost room
+                    continue
+                seen.add((k1, k2))
+                raw = text.encode()
+                for p in ps:
+                    s, a, d = p["s"], p["s"] + p["x"], p["d"]
+                    i = max(s, a - d - half + 1)
+                    j = min(s + p["n"] - length, a - d)
+                    out.append((p["w"], k1, k2, i, a - i, d, p["own"], raw[i : j + length]))
+            kinds = [pa.int64()] * 4 + [pa.int32()] * 2 + [pa.bool_(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["w", "k1", "k2", "s", "x", "d", "own", "raw"])
+
+    pieces = scratch.written(texts.join(asked, ["k1", "k2"]).mapInArrow(cut, PIECE), "repeat-pieces")
+    scratch.discard(wanted)
+    found, g = [copies, twice], half
+    while True:
+        large = pieces.groupBy("w").agg(F.sum(F.octet_length("raw")).alias("size")).filter(F.col("size") > GROUP).select("w")
+        large = scratch.written(large, "repeat-large")
+        more = not large.isEmpty()
+        small = pieces.join(large, "w", "left_anti") if more else pieces
+        found.append(scratch.written(_search(small, length), "repeat-found"))
+        if not more:
+            break
+        g = -(-g // 2)
+        halves = scratch.written(_halved(pieces.join(large, "w", "left_semi"), g, length), "repeat-halves")
+        scratch.discard(pieces, large)
+        place = F.xxhash64("k1", "k2", "s")
+        kinds = halves.groupBy("w", "f").agg(F.min(place).alias("first"), F.max(place).alias("last"))
+        kinds = scratch.written(kinds, "repeat-kinds")
+        several = kinds.filter("first <> last").select("w", "f")
+        found.append(scratch.written(halves.join(several, ["w", "f"]).select("k1", "k2", "s", (F.col("s") + F.octet_length("raw")).alias("e")), "repeat-found"))
+        # One piece of each kind goes on, if its core has other kinds and one of them is in one place only.
+        open_ = kinds.groupBy("w").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("first") == F.col("last")).alias("open")).filter("n > 1 and open").select("w")
+        going = kinds.join(open_, "w").select("w", "f", "first", (F.col("first") == F.col("last")).alias("one"))
+        pieces = halves.withColumn("first", place).join(going, ["w", "f", "first"]).withColumn("own", F.col("own") & F.col("one"))
+        pieces = scratch.written(pieces.select([c.split()[0] for c in PIECE.split(", ")]), "repeat-pieces")
+        scratch.discard(halves, kinds)
+    scratch.discard(pieces, large)
+    every = found[0]
+    for part in found[1:]:
+        every = every.unionByName(part)
+    spans = scratch.written(every.groupBy("k1", "k2").agg(F.collect_set(F.struct("s", "e")).alias("spans")), "repeat-spans")
+    scratch.discard(*found)
+    return spans
+
+
+def merged(found) -> list[tuple[int, int]]:
+    """Maximal runs of the spans, ascending; spans that touch are one."""
+    out = []
+    for s, e in sorted((x["s"], x["e"]) for x in found or ()):
+        if out and s <= out[-1][1]:
+            out[-1] = out[-1][0], max(e, out[-1][1])
+        else:
+            out.append((s, e))
+    return out
 
 
-def _cut(raw: bytes, found) -> bytes:
+def without(raw: bytes, spans: list[tuple[int, int]]) -> bytes:
     at, kept = 0, []
-    for x in found or ():
-        kept.append(raw[at : x["s"]])
-        at = x["e"]
+    for s, e in spans:
+        kept.append(raw[at:s])
+        at = e
     return b"".join([*kept, raw[at:]])
 
 
@@ -244,33 +380,38 @@ def report(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataF
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row of `docs` (doc_id, text).
 
     Null and empty texts, and texts below `length` bytes, keep all. Repeated rows are copies of one another, and are removed whole
-    if they are long enough. An empty table gives an empty result. Other columns are ignored.
+    if they are long enough. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
-    rows, found = removed_spans(docs, length, anchor)
+    found = removed_spans(docs, length, anchor)
 
     def each(batches):
         for b in batches:
             out = []
             for text, x in zip(b.column("text").to_pylist(), b.column("spans").to_pylist(), strict=True):
-                raw = text.encode()
-                kept = _cut(raw, x)
-                out.append((len(raw), len(raw) - len(kept), len(x or ()), hashlib.sha256(kept).hexdigest()))
+                raw, runs = text.encode(), merged(x)
+                kept = without(raw, runs)
+                out.append((len(raw), len(raw) - len(kept), len(runs), hashlib.sha256(kept).hexdigest()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[i] for r in out], pa.int64()) for i in range(3)), pa.array([r[3] for r in out], pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return rows.join(found, "key", "left").select("doc_id", "text", "spans").mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    rows = keyed(docs).join(found, ["k1", "k2"], "left").select("doc_id", "text", "spans")
+    return rows.mapInArrow(each, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
-    """`docs` with the repeated parts cut from `text` (bytes that no longer form a character go too); same columns and rows."""
-    _, found = removed_spans(docs, length, anchor)
+    """`docs` with the repeated parts cut from `text` (bytes that no longer form a character go too); same columns and rows.
+
+    Nulls, empty texts and texts below `length` bytes stay as they are; a repeated row keeps nothing if it is long enough.
+    """
+    found = removed_spans(docs, length, anchor)
 
     def each(batches):
         for b in batches:
-            texts = [None if t is None else _cut(t.encode(), x).decode("utf-8", "ignore") for t, x in zip(b.column("text").to_pylist(), b.column("_spans").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else b.column(c) for c in columns], columns)
+            texts = [t if not x else without(t.encode(), merged(x)).decode("utf-8", "ignore") for t, x in zip(b.column(0).field("text").to_pylist(), b.column(1).to_pylist(), strict=True)]
+            row = b.column(0)
+            yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if c == "text" else row.field(c) for c in columns], columns)
 
     columns = docs.columns
-    marked = docs.withColumn("_key", F.unhex(F.md5(F.coalesce("text", F.lit("")))))
-    joined = marked.join(found.select(F.col("key").alias("_key"), F.col("spans").alias("_spans")), "_key", "left").select(*columns, "_spans")
-    return joined.mapInArrow(each, docs.schema)
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"), *_key(text)).join(found, ["k1", "k2"], "left").select("row", "spans")
+    return rows.mapInArrow(each, docs.schema)

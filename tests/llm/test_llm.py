@@ -191,7 +191,7 @@ def test_deduplicated_keeps_one_row_of_each_class(spark):
 
 
 
-@pytest.mark.parametrize("group", [1000, 1])
+@pytest.mark.parametrize("group", [1_000_000, 20_000, 1])
 def test_repeats(docs, none, rows, group, monkeypatch):
     monkeypatch.setattr(repeats, "GROUP", group)
     raw = {i: (t or "").encode() for i, t, *_ in rows}
