@@ -31,7 +31,8 @@ def components(edges: DataFrame) -> DataFrame:
     now = scratch.written(edges.filter("a <> b").select("a", "b").distinct(), "links")
     sign = None
     while True:
-        now = scratch.written(_star(_star(now, True), False), "links")
+        before, now = now, scratch.written(_star(_star(now, True), False), "links")
+        scratch.discard(before)
         found = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if found == sign:
             break

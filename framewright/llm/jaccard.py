@@ -6,8 +6,8 @@ node chooses its own l by estimated cost: a longer prefix sends more shingles an
 must share as many as the smaller l of its two nodes, after which whole sets are compared.
 
 Links are found in two passes. First each prefix shingle links its nodes with its least node only, so that groups of near
-copies fall together by a number of comparisons that grows with their rows. Then all pairs of nodes that share enough
-prefix shingles and are not yet connected are compared. Components, not pairs within them, are the result.
+copies fall together by a number of comparisons that grows with their rows. Then pairs of nodes that share enough prefix
+shingles, by whose places they can still reach the overlap, and that are not yet connected are compared. Components, not pairs within them, are the result.
 Sets are compared by 64-bit hashes of shingles.
 """
 
@@ -117,12 +117,14 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     found = every.filter("cell is not null").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
     counts = np.zeros(CELLS, np.int64)
     counts[found["cell"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    rows = every.filter("cell is null").select("doc_id", "n", "key")
+    rows = scratch.written(every.filter("cell is null").select("doc_id", "n", "key"), "jaccard-rows")
+    scratch.discard(every)
     reps = scratch.written(rows.filter("n > 0 and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("node")), "jaccard-nodes")
     heads = _prefixes(docs, counts, shingle, percent).filter("n > 0").join(reps, ["key", "node"]).dropDuplicates(["key", "node"])
-    heads = scratch.written(heads.select("node", "n", "l", F.explode("tokens").alias("token")), "jaccard-prefixes")
+    heads = scratch.written(heads.select("node", "n", "l", F.posexplode("tokens").alias("pos", "token")), "jaccard-prefixes")
     centers = heads.groupBy("token").agg(F.min("node").alias("center"), F.max("node").alias("top")).filter("center < top").drop("top")
     shared = scratch.written(heads.join(centers, "token"), "jaccard-shared")
+    scratch.discard(heads)
     involved = shared.select("node").distinct()
     texts = docs.withColumnRenamed("doc_id", "node").join(involved, "node").dropDuplicates(["node", "text"])
     texts = scratch.written(texts, "jaccard-texts")
@@ -134,19 +136,44 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 
     placed = shared.drop("center").join(components(first), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     placed = scratch.written(placed, "jaccard-placed")
-    per = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"))
-    open_ = placed.join(per.filter("comps > 1").drop("comps"), "token")
-    x = open_.filter("comp <> most").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("comp").alias("ca"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("comp").alias("cb"), "most")
-    met = x.join(y, "token").filter((F.col("ca") != F.col("cb")) & fits(F.col("na"), F.col("nb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b"))))
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(F.least("la", "lb")).alias("need"))
-    second = _verified(scratch.written(pairs.filter("met >= need").select("a", "b"), "jaccard-pairs"), texts, shingle, percent)
-
-    comps = components(first.unionByName(second).unionByName(_same_id(rows, reps)))
+    scratch.discard(shared)
+    second = _verified(_candidates(placed, percent), texts, shingle, percent)
+    scratch.discard(placed, texts)
+
+    links = scratch.written(first.unionByName(second).unionByName(_same_id(rows, reps)), "jaccard-links")
+    scratch.discard(first, second)
+    comps = components(links)
+    scratch.discard(links)
     out = rows.join(reps, "key", "left").join(comps, "node", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("comp", "node")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
+def _candidates(placed: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes in different components that may link, from their prefixes: token, node, n, l, pos, comp.
+
+    Two sets of x and y shingles link if they share percent * (x + y) / (100 + percent). The r-th shingle they share, at places i and
+    j of their orders, has r - 1 before it and at most the lesser of x - i and y - j from there on; this bounds the sizes of
+    partners of each row of a token, before rows meet, and each pair that meets. Such pairs share the least l of both.
+    """
+    left = F.col("n") - F.col("pos")
+    per = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max(left).alias("room"))
+    per = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.min("low").alias("low"), F.max("room").alias("room"))
+    smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
+    reaches = (100 + percent) * (F.least(left, F.col("room")) + F.col("l") - 1) >= percent * (F.col("n") + smallest)
+    open_ = scratch.written(placed.join(per.filter("comps > 1"), "token").filter(reaches).select("token", "node", "n", "l", "pos", "comp", "most"), "jaccard-open")
+    x = open_.filter("comp <> most").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "most")
+    need = F.least("la", "lb")
+    apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
+    fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    enough = (100 + percent) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + need - 1) >= percent * (F.col("na") + F.col("nb"))
+    met = x.join(y, "token").filter(apart & fits & enough)
+    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(need).alias("need"))
+    out = scratch.written(pairs.filter("met >= need").select("a", "b"), "jaccard-pairs")
+    scratch.discard(open_)
+    return out
+
+
 def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the nodes of different texts under one doc_id."""
     both = rows.filter("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("key").alias("key"), F.max("key").alias("other"), F.count(F.lit(1)).alias("c")).filter("c > 1 and key <> other")

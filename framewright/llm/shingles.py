@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 
 _UPPER = bytes(range(65, 91))
 LOWERED = bytes.maketrans(_UPPER, _UPPER.lower())
+_BLANK = re.compile(rb"[\x09-\x0d\x20]")
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _random = np.random.default_rng(20240229)
@@ -33,20 +36,22 @@ _POWERS = powers(BASE, AT_ONCE + 1), powers(_INVERSE, AT_ONCE + 1)
 
 
 def word_hashes(raw: bytes) -> np.ndarray:
-    """A 64-bit hash for each word of lower-cased bytes; a text is cut at spaces into pieces of about AT_ONCE bytes."""
+    """A 64-bit hash for each word of lower-cased bytes; a text is cut at spaces into pieces of about AT_ONCE bytes, or one longer word."""
     out, at = [], 0
     while at < len(raw):
         end = min(len(raw), at + AT_ONCE)
         if end < len(raw):
             cut = max(raw.rfind(s, at, end) for s in (b" ", b"\n", b"\t", b"\r", b"\x0b", b"\x0c"))
-            end = cut + 1 if cut > at else end
+            found = _BLANK.search(raw, end) if cut < at else None
+            end = cut + 1 if cut >= at else found.end() if found else len(raw)
         b = np.frombuffer(raw, np.uint8, end - at, at)
         space = np.concatenate([[True], _SPACE[b], [True]])
         edge = np.flatnonzero(space[1:] != space[:-1])
         first, last = edge[::2], edge[1::2]
         sums = np.zeros(len(b) + 1, np.uint64)
-        np.cumsum(_BYTE[b] * _POWERS[0][: len(b)], out=sums[1:])
-        out.append(mix((sums[last] - sums[first]) * _POWERS[1][first] + (last - first).astype(np.uint64)))
+        up, down = _POWERS if len(b) < AT_ONCE + 1 else (powers(BASE, len(b) + 1), powers(_INVERSE, len(b) + 1))
+        np.cumsum(_BYTE[b] * up[: len(b)], out=sums[1:])
+        out.append(mix((sums[last] - sums[first]) * down[first] + (last - first).astype(np.uint64)))
         at = end
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 

@@ -209,3 +209,42 @@ def test_repeats(docs, none, rows, group, monkeypatch):
         runs = sum(g and (j == 0 or not gone[j - 1]) for j, g in enumerate(gone))
         assert got[i] == (len(x), sum(gone), runs, hashlib.sha256(kept).hexdigest()), i
     assert repeats.report(none).count() == 0
+
+
+def test_a_word_longer_than_a_piece_is_one_word(monkeypatch):
+    from framewright.llm import shingles
+
+    texts = ["a bb " + "x" * 5_000 + " c dd", "y" * 3_000, " " * 900 + "z", "one " * 700 + "w" * 900]
+    want = [shingles.word_hashes(t.encode()).tolist() for t in texts]
+    monkeypatch.setattr(shingles, "AT_ONCE", 256)
+    assert [shingles.word_hashes(t.encode()).tolist() for t in texts] == want
+
+
+@pytest.mark.parametrize("percent", [85, 80, 50])
+def test_jaccard_on_edited_copies(spark, percent):
+    """Copies of a base with more and more words changed, so that many pairs lie about the threshold."""
+    r = random.Random(percent)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    rows = []
+    for _ in range(6):
+        base = [word() for _ in range(r.randint(30, 80))]
+        for _ in range(25):
+            copy = list(base)
+            for at in r.sample(range(len(copy)), r.randint(0, 6)):
+                copy[at] = word() if r.random() < 0.7 else base[at - 1]
+            rows.append((len(rows) * 7 % 1009, " ".join(copy[: len(copy) - r.randint(0, 4)])))
+    sets = {i: {tuple(t.split()[j : j + 4]) for j in range(len(t.split()) - 3)} for i, t in rows}
+    comp = {i: i for i in sets}
+
+    def find(i):
+        while comp[i] != i:
+            i = comp[i]
+        return i
+
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((find(a), find(b)))
+                comp[y] = x
+    got = {x.doc_id: x.component_id for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4, percent).collect()}
+    assert got == {i: find(i) for i in sets}
