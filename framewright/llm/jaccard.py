@@ -151,27 +151,30 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
 def _candidates(placed: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) of nodes in different components that may link, from their prefixes: token, node, n, l, pos, comp.
 
-    Two sets of x and y shingles link if they share percent * (x + y) / (100 + percent). The r-th shingle they share, at places i and
-    j of their orders, has r - 1 before it and at most the lesser of x - i and y - j from there on; this bounds the sizes of
-    partners of each row of a token, before rows meet, and each pair that meets. Such pairs share the least l of both.
+    Two sets of x and y shingles link if they share percent * (x + y) / (100 + percent). If the first that they share stands at
+    places i and j of their orders, they share at most the lesser of x - i and y - j. Rows of a token that no other row of it can
+    meet so are left out before rows meet. The pairs that meet go on if their prefixes share as many as the least l of both.
     """
     left = F.col("n") - F.col("pos")
     per = placed.groupBy("token", "comp").agg(F.count(F.lit(1)).alias("c"), F.min("n").alias("low"), F.max(left).alias("room"))
     per = per.groupBy("token").agg(F.max_by("comp", F.struct("c", "comp")).alias("most"), F.count(F.lit(1)).alias("comps"), F.min("low").alias("low"), F.max("room").alias("room"))
     smallest = F.greatest(F.col("low"), F.ceil(F.col("n") * percent / 100))
-    reaches = (100 + percent) * (F.least(left, F.col("room")) + F.col("l") - 1) >= percent * (F.col("n") + smallest)
-    open_ = scratch.written(placed.join(per.filter("comps > 1"), "token").filter(reaches).select("token", "node", "n", "l", "pos", "comp", "most"), "jaccard-open")
-    x = open_.filter("comp <> most").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("l").alias("la"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("l").alias("lb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"), "most")
-    need = F.least("la", "lb")
+    reaches = (100 + percent) * F.least(left, F.col("room")) >= percent * (F.col("n") + smallest)
+    open_ = scratch.written(placed.join(per.filter("comps > 1"), "token").filter(reaches).select("token", "node", "n", left.alias("left"), "comp", "most"), "jaccard-open")
+    x = open_.filter("comp <> most").select("token", F.col("node").alias("a"), F.col("n").alias("na"), F.col("left").alias("left_a"), F.col("comp").alias("ca"))
+    y = open_.select("token", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("left").alias("left_b"), F.col("comp").alias("cb"), "most")
     apart = (F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("most")) | (F.col("a") < F.col("b")))
     fits = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
-    enough = (100 + percent) * (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + need - 1) >= percent * (F.col("na") + F.col("nb"))
-    met = x.join(y, "token").filter(apart & fits & enough)
-    pairs = met.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.count(F.lit(1)).alias("met"), F.first(need).alias("need"))
-    out = scratch.written(pairs.filter("met >= need").select("a", "b"), "jaccard-pairs")
-    scratch.discard(open_)
-    return out
+    enough = (100 + percent) * F.least("left_a", "left_b") >= percent * (F.col("na") + F.col("nb"))
+    met = x.join(y, "token").filter(apart & fits & enough).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    met = scratch.written(met, "jaccard-met")
+    heads = placed.groupBy("node").agg(F.first("l").alias("l"), F.collect_list("token").alias("tokens"))
+    one = heads.select(F.col("node").alias("a"), F.col("l").alias("la"), F.col("tokens").alias("of_a"))
+    other = heads.select(F.col("node").alias("b"), F.col("l").alias("lb"), F.col("tokens").alias("of_b"))
+    pairs = met.join(one, "a").join(other, "b").filter(F.size(F.array_intersect("of_a", "of_b")) >= F.least("la", "lb"))
+    pairs = scratch.written(pairs.select("a", "b"), "jaccard-pairs")
+    scratch.discard(open_, met)
+    return pairs
 
 
 def _same_id(rows: DataFrame, reps: DataFrame) -> DataFrame:
