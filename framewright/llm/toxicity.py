@@ -10,6 +10,7 @@ classifier is then trained on the posteriors.
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from typing import NamedTuple
 
@@ -27,10 +28,17 @@ MAX_LABELLED = 500_000
 LEXICONS, LEVELS = 5, 3
 #: Letters of a stem; distinct words in toxic rows that make one; words whose entries a worker remembers.
 STEM, FAMILY, REMEMBERED = (3, 16), 3, 400_000
+#: The share of a voter's weight that its finding nothing has.
+ABSENT = 0.5
+#: How often a toxic and another text is labelled toxic.
+LABEL_RATES = 0.95, 0.01
 PRONOUNS = {"you", "du", "ihr", "tu", "vous", "te", "usted", "eres"}
 WORD = r"[\p{L}@$*]+"
 TOKENS = regex.compile(WORD)
-SHOUT = regex.compile(r"!{2,}|\b[A-Z]{4,}\b\s+\b[A-Z]{4,}\b")
+#: The same matches, faster, for texts without any character of BEYOND.
+LATIN = re.compile("[A-Za-z@$*ªµºÀ-ÖØ-öø-ɏ]+")
+BEYOND = re.compile("[ɐ-\u1fff\u2070-\U0010ffff]")
+SHOUT = re.compile(r"!{2,}|\b[A-Z]{4,}\b\s+\b[A-Z]{4,}\b")
 
 
 class Entry(NamedTuple):
@@ -88,6 +96,7 @@ class Voters:
     def __init__(self, entries: list[Entry]):
         self.words = {e.text: e for e in entries if not e.stem}
         self.stems = {e.text: e for e in entries if e.stem}
+        self.starts = {x[: STEM[0]] for x in (*self.words, *self.stems)}
         self.memory: dict[str, int] = {}
 
     def lexicon(self, word: str) -> int:
@@ -99,20 +108,23 @@ class Voters:
     def counts(self, text: str) -> list[int]:
         """The distinct words of each lexicon, then insults close together, insults after a pronoun and shouts."""
         low = text.lower()
+        tokens = TOKENS if BEYOND.search(low) else LATIN
         out = [0] * (LEXICONS + 3)
-        hits = set()
         if len(self.memory) > REMEMBERED:
             self.memory.clear()
-        for w in set(TOKENS.findall(low)):
-            k = self.memory.get(w)
-            if k is None:
-                k = self.memory[w] = self.lexicon(w)
-            if k >= 0:
-                out[k] += 1
-                hits.add(w)
+        starts, least, memory = self.starts, STEM[0], self.memory
+        hits = set()
+        for w in set(tokens.findall(low)):
+            if w[:least] in starts:
+                k = memory.get(w)
+                if k is None:
+                    k = memory[w] = self.lexicon(w)
+                if k >= 0:
+                    out[k] += 1
+                    hits.add(w)
         if hits:
             last = pronoun = None
-            for i, m in enumerate(TOKENS.finditer(low)):
+            for i, m in enumerate(tokens.finditer(low)):
                 if m.group() in hits:
                     out[-3] += last is not None and m.start() - last < 40
                     out[-2] += pronoun is not None and i - pronoun <= 4
@@ -140,18 +152,20 @@ def label_model(votes: np.ndarray, count: np.ndarray, label: np.ndarray, rounds:
     answers = votes[:, :, None] == np.arange(LEVELS + 1)
     q = np.where(label >= 0, 0.05 + 0.9 * label, np.where(x[:, :-1].sum(1) > 0, 0.8, 0.05))
     weight = np.ones(x.shape[1])
+    # The given labels set how frequent the class is; how often they are right is a parameter, so that no other class takes its place.
+    prior = (w[label == 1].sum() + 1) / (w[label >= 0].sum() + 2)
+    l1, l0 = LABEL_RATES
     for _ in range(rounds):
         one, none = w * q, w * (1 - q)
-        prior = (one.sum() + 1) / (w.sum() + 2)
         p1, p0 = ((np.tensordot(v, answers, 1) + 1) / (v.sum() + LEVELS + 1) for v in (one, none))
-        known = label >= 0
-        l1, l0 = ((one * known) @ (label == 1) + 8) / ((one * known).sum() + 9), ((none * known) @ (label == 1) + 1) / ((none * known).sum() + 20)
         # Correlation of voters beyond the class: residuals' correlation, shared out as weight.
         rest = x - (q[:, None] * (one @ x / one.sum()) + (1 - q)[:, None] * (none @ x / none.sum()))
         cov = (rest * w[:, None]).T @ rest / w.sum()
         sd = np.sqrt(np.maximum(np.diag(cov), 1e-12))
         weight = 1 / np.maximum(1, np.clip(cov / sd / sd[:, None], 0, 1).sum(0))
-        score = np.log(prior / (1 - prior)) + (weight * (answers * np.log(p1 / p0)).sum(2)).sum(1)
+        # That several lexicons find nothing is one sign rather than several, as each is mostly of one language.
+        said = answers * np.log(p1 / p0)
+        score = np.log(prior / (1 - prior)) + (weight * (said[:, :, 1:].sum(2) + ABSENT * said[:, :, 0])).sum(1)
         score = score + np.where(label == 1, np.log(l1 / l0), np.where(label == 0, np.log((1 - l1) / (1 - l0)), 0))
         q = 1 / (1 + np.exp(-np.clip(score, -30, 30)))
     return {"posterior": q, "rates": (p1, p0), "weight": weight, "prior": prior}
@@ -175,67 +189,86 @@ def _features(votes: np.ndarray) -> np.ndarray:
     return np.hstack([steps, votes[:, -3:], found > 0, np.minimum(found, 2 * LEVELS)]).astype(float)
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[Voters, np.ndarray]:
-    """Voters and linear weights, learned from rows that are not held out.
+#: Weights of a model that has seen no label: every score is low.
+UNTAUGHT = np.array([*[0.0] * (LEXICONS * LEVELS + 3 + 2), -3.0])
 
-    Lexicons come from at most about MAX_LABELLED labelled rows; vote patterns are counted over all rows, and there are at
-    most 3 * 2 ** (2 * LEXICONS + 3) of them.
-    """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).filter(~held_out(F.col("doc_id")))
-    marks = labels.select("doc_id", "toxic").filter("toxic in (0, 1)").dropDuplicates(["doc_id"])
+
+def taught(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, Voters]:
+    """(labels by doc_id: any 1 makes it 1; voters), from rows that are not held out; lexicons from at most about MAX_LABELLED labelled ones."""
+    marks = labels.select("doc_id", "toxic").filter("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = scratch.written(marks.filter(~held_out(F.col("doc_id"))), "toxicity-marks")
     n = marks.count()
     use = marks if n <= MAX_LABELLED else marks.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(MAX_LABELLED / n * (1 << 30)))
-    voters = Voters(mine_lexicons(scratch.written(rows.join(use, "doc_id").select("text", "toxic"), "toxicity-labelled")))
+    # At most about MAX_LABELLED labels are broadcast, so that no text is shuffled.
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(use), "doc_id")
+    return marks, Voters(mine_lexicons(rows.select("text", "toxic")))
+
+
+def voted(docs: DataFrame, voters: Voters) -> DataFrame:
+    """doc_id, held_out and votes of each row; every text is read once."""
 
     def vote(batches):
         for b in batches:
             bits = [voters.votes(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(bits, pa.int64())], ["doc_id", "votes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(bits, pa.int64())], ["doc_id", "held_out", "votes"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    voted = rows.mapInArrow(vote, f"doc_id {kind}, votes long").join(marks, "doc_id", "left")
-    found = voted.groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").toPandas()
+    rows = docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text"))
+    return rows.mapInArrow(vote, f"doc_id {kind}, held_out boolean, votes long")
+
+
+def train(votes: DataFrame, marks: DataFrame) -> np.ndarray:
+    """Linear weights, from the vote patterns of all rows that are not held out: at most 3 * 2 ** (2 * LEXICONS + 3) of them."""
+    if marks.isEmpty():
+        return UNTAUGHT
+    rows = votes.filter("not held_out").join(marks, "doc_id", "left")
+    found = rows.groupBy("votes", F.coalesce("toxic", F.lit(-1)).alias("label")).agg(F.count(F.lit(1)).alias("n")).orderBy("votes", "label").toPandas()
     if not len(found):
-        return voters, np.array([*[0.0] * (LEXICONS * LEVELS + 3 + 2), -3.0])
+        return UNTAUGHT
     x = unpacked(found["votes"].to_numpy(np.int64))
     model = label_model(x, found["n"].to_numpy(), found["label"].to_numpy())
-    return voters, fit_linear(_features(x), model["posterior"], found["n"].to_numpy(float))
+    return fit_linear(_features(x), model["posterior"], found["n"].to_numpy(float))
 
 
-def _scores(model: tuple[Voters, np.ndarray], texts: list[str | None]) -> np.ndarray:
-    voters, weights = model
-    v = unpacked(np.array([voters.votes(t or "") for t in texts], np.int64))
-    return 1 / (1 + np.exp(-np.clip(_features(v) @ weights[:-1] + weights[-1], -30, 30)))
+def _scores(votes: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(_features(unpacked(votes)) @ weights[:-1] + weights[-1], -30, 30)))
 
 
 def scored(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted for each row of `docs` (doc_id, text); labels (doc_id, toxic) teach only rows not held out.
 
-    Null and empty texts have no votes and get the score of no votes. Repeated rows get a row each, of the same score. Without
-    labels all scores are low. An empty table gives an empty result. A null doc_id is not held out. Other columns are ignored.
+    Null and empty texts have no votes and get the score of no votes. Repeated rows get a row each, of the same score; of labels
+    that differ for one doc_id, 1 holds. Without labels all scores are below 0.05. An empty table gives an empty result. A null
+    doc_id is not held out and has no label. Other columns are ignored.
     """
-    return _scored(docs, train(docs, labels))
-
+    marks, voters = taught(docs, labels)
+    votes = scratch.written(voted(docs, voters), "toxicity-votes")
+    weights = train(votes, marks)
+    scratch.discard(marks)
 
-def _scored(docs: DataFrame, model: tuple[Voters, np.ndarray]) -> DataFrame:
     def each(batches):
         for b in batches:
-            s = _scores(model, b.column("text").to_pylist())
+            s = _scores(b.column("votes").to_numpy(), weights)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, f"doc_id {kind}, held_out boolean, score double, predicted int")
+    return votes.mapInArrow(each, f"doc_id {kind}, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """`docs` without rows predicted toxic; same columns. Rows of one doc_id go together, those with a null doc_id each by its own text."""
-    model = train(docs, labels)
-    gone = _scored(docs, model).filter("predicted = 1").select(F.col("doc_id").alias("_gone")).distinct()
+    """`docs` without rows predicted toxic; same columns. Each row goes by its own text, whatever its doc_id, null included."""
+    marks, voters = taught(docs, labels)
+    votes = scratch.written(voted(docs, voters), "toxicity-votes")
+    weights = train(votes, marks)
+    scratch.discard(marks, votes)
+    # Patterns of votes are few: what each scores is worked out once.
+    known: dict[int, bool] = {}
 
     def clean(batches):
         for b in batches:
-            yield b.filter(pa.array(_scores(model, b.column("text").to_pylist()) < 0.5, pa.bool_()))
+            bits = [voters.votes(t or "") for t in b.column("text").to_pylist()]
+            for v in set(bits).difference(known):
+                known[v] = bool(_scores(np.array([v], np.int64), weights)[0] < 0.5)
+            yield b.filter(pa.array([known[v] for v in bits], pa.bool_()))
 
-    kept = docs.filter("doc_id is not null").join(gone, docs.doc_id == F.col("_gone"), "left_anti")
-    return kept.unionByName(docs.filter("doc_id is null").mapInArrow(clean, docs.schema))
+    return docs.mapInArrow(clean, docs.schema)
