@@ -30,8 +30,10 @@ from framewright.llm.token_counts import tokenizer
 MAGIC, NO_IDS = b"FWTI\x01\0\0\0", b"FWTI\x01\x01\0\0"
 BLOCK = 1 << 19
 ROWS_A_FILE = 2000
+#: How byte-level vocabularies write a blank.
+SPACE = "Ġ"
 #: Bytes of ids that a task holds before it passes them on; words whose ids it remembers.
-HELD, REMEMBERED = 32 << 20, 400_000
+HELD, REMEMBERED = 32 << 20, 900_000
 LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 TOTALS = LENGTHS.sum(1).astype(np.int64)
 
@@ -61,25 +63,54 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 class WordIds(dict):
-    """The bytes of the ids of each word seen, as the library gives them; forgets all when it is full."""
+    """Words seen, numbered; `ids` has the bytes of each one's ids, as the library gives them. Forgets all when it is full."""
 
     def __init__(self, t, kind: str):
         super().__init__()
         self.t, self.kind = t, kind
+        self.ids: list[bytes] = []
+        self.fresh: list[str] = []
         self.specials = [x.content for x in t.get_added_tokens_decoder().values()]
+        vocabulary = t.get_vocab()
+        self.opens = np.zeros(1 + max(vocabulary.values(), default=0), bool)  # ids that begin with a blank
+        self.opens[[i for x, i in vocabulary.items() if x[:1] == SPACE]] = True
+
+    def __missing__(self, word: str) -> int:
+        number = self[word] = len(self)
+        self.fresh.append(word)
+        return number
+
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(words, add_special_tokens=False)]
+
+    def _spaced(self, words: list[str]) -> list[bytes]:
+        """Words of a blank and letters make one text, which falls into them again; each begins with an id that begins with a blank."""
+        ids = np.array(self.t.encode_batch_fast(["".join(words)], add_special_tokens=False)[0].ids, self.kind)
+        first = np.flatnonzero(self.opens[ids])
+        if len(first) != len(words):  # a tokenizer of another kind
+            return self._each(words)
+        raw, cuts = ids.tobytes(), (np.append(first, len(ids)) * ids.itemsize).tolist()
+        return [raw[i:j] for i, j in zip(cuts, cuts[1:])]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Words are pre-tokens, which the byte-level tokenizer encodes one by one; texts it might split otherwise go to it whole."""
-        split = [FAST.findall(x) if plain(x) and not any(s in x for s in self.specials) else None for x in texts]
         if len(self) > REMEMBERED:
             self.clear()
-        new = list(set().union(*(x for x in split if x is not None)).difference(self))
-        for at in range(0, len(new), 8192):
-            some = new[at : at + 8192]
-            self.update(zip(some, (np.array(e.ids, self.kind).tobytes() for e in self.t.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+            self.ids.clear()
+        number, known = self.__getitem__, len(self.ids)
+        rows = [list(map(number, FAST.findall(x))) if plain(x) and not any(s in x for s in self.specials) else None for x in texts]
+        fresh, self.fresh = self.fresh, []
+        spaced = [w[0] == " " and w[1:].isalpha() for w in fresh]
+        self.ids += [b""] * len(fresh)
+        for want, give, at_once in ((True, self._spaced, 4096), (False, self._each, 8192)):
+            own = [i for i, x in enumerate(spaced) if x == want]
+            for at in range(0, len(own), at_once):
+                part = own[at : at + at_once]
+                for i, raw in zip(part, give([fresh[i] for i in part]), strict=True):
+                    self.ids[known + i] = raw
+        get = self.ids.__getitem__
         whole = lambda x: np.array(self.t.encode(x, add_special_tokens=False).ids, self.kind).tobytes()
-        get = self.__getitem__
-        return [whole(x) if s is None else b"".join(map(get, s)) for x, s in zip(texts, split, strict=True)]
+        return [whole(x) if row is None else b"".join(map(get, row)) for x, row in zip(texts, rows, strict=True)]
 
 
 @lru_cache(2)
