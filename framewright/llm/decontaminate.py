@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from framewright import scratch
-from framewright.llm.native import ascii_lower, let, split_words, windows
+from framewright.llm.native import ascii_lower, let, split_words, unused, windows
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -39,9 +39,17 @@ def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     spans = None
     for k in sizes:
         own = found.filter(F.col("k") == k).select("h", "window", "item_ids")
-        at = words.select("doc_id", "row", "words", F.posexplode(windows(F.col("words"), k)).alias("at", "h"))
-        same = (at.h == own.h) & (F.array_join(F.slice(at.words, at["at"] + 1, k), " ") == own.window)
-        hit = at.join(F.broadcast(own) if small else own, same).select("doc_id", "row", F.sequence("at", F.col("at") + (k - 1)).alias("covered"), "item_ids")
+        is_window = F.array_join(F.slice("words", F.col("at") + 1, k), " ") == F.col("window")
+        if small:
+            at = words.select("doc_id", "row", "words", F.posexplode(windows(F.col("words"), k)).alias("at", "h"))
+            hit = at.join(F.broadcast(own), "h").filter(is_window)
+        else:
+            # Only hashes are shuffled; the words of documents with a hit come back by document.
+            at = words.select("doc_id", "row", F.posexplode(windows(F.col("words"), k)).alias("at", "h"))
+            met = at.join(own, "h").select(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "at", "window", "item_ids").distinct()
+            whole = words.dropDuplicates(["doc_id", "row"])
+            hit = met.join(whole, whole.doc_id.eqNullSafe(met.id) & (whole.row == met.id_row)).filter(is_window)
+        hit = hit.select("doc_id", "row", F.sequence("at", F.col("at") + (k - 1)).alias("covered"), "item_ids")
         spans = hit if spans is None else spans.unionByName(hit)
     if spans is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, row long, covered array<int>, item_ids array<string>")
@@ -76,11 +84,12 @@ def decontaminated(docs: DataFrame, items: DataFrame, size: int = WINDOW, remove
 
     Documents without a hit, null texts included, stay as they are.
     """
-    found = hits(docs, items, size).select(F.col("doc_id").alias("_hit_id"), F.col("row").alias("_hit_row"), F.col("covered").alias("_hit_at"))
-    same = docs.doc_id.eqNullSafe(F.col("_hit_id")) & (F.xxhash64(docs.text) == F.col("_hit_row"))
+    hit_id, hit_row, hit_at = unused(docs, "hit_id", "hit_row", "hit_at")
+    found = hits(docs, items, size).select(F.col("doc_id").alias(hit_id), F.col("row").alias(hit_row), F.col("covered").alias(hit_at))
+    same = docs.doc_id.eqNullSafe(F.col(hit_id)) & (F.xxhash64(docs.text) == F.col(hit_row))
     if remove == "documents":
         return docs.join(found, same, "left_anti")
-    cut = F.when(F.col("_hit_at").isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col("_hit_at")))
+    cut = F.when(F.col(hit_at).isNull(), F.col("text")).otherwise(without_words(F.col("text"), F.col(hit_at)))
     return docs.join(found, same, "left").withColumn("text", cut).select(docs.columns)
 
 

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from framewright import scratch
 from framewright.llm.components import components
+from framewright.llm.native import unused
 from framewright.llm.shingles import set_key, shingle_set
 
 SHINGLE, PERCENT = 4, 85
@@ -193,12 +194,13 @@ def deduplicated(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT
     """
     made = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2).bitwiseOR(F.lit(1 << 62))
     worded = F.coalesce("text", F.lit("")).rlike("[^\\x20\\x09-\\x0d]")
-    named = docs.withColumn("_id", F.coalesce(F.col("doc_id").cast("long"), made))
-    found = classes(named.select(F.col("_id").alias("doc_id"), "text"), shingle, percent).filter("n_shingles > 0")
-    each = found.groupBy(F.col("doc_id").alias("_id")).agg(F.first(F.col("doc_id") != F.col("component_id")).alias("_gone"), F.count(F.lit(1)).alias("_rows"))
-    marked = scratch.written(each.filter("_gone or _rows > 1"), "jaccard-marked")
-    several = scratch.written(marked.filter("not _gone").select("_id"), "jaccard-several")  # mostly empty, so that its join sends no texts
-    named = named.withColumn("_id", F.when(worded, F.col("_id")))
-    once = named.join(marked.select("_id"), "_id", "left_anti")
-    again = named.join(several, "_id", "left_semi").withColumn("_row", F.row_number().over(W.partitionBy("_id").orderBy(F.col("doc_id").isNull(), "text")))
-    return once.select(docs.columns).unionByName(again.filter("_row = 1").select(docs.columns))
+    own, row = unused(docs, "own_id", "own_row")
+    named = docs.withColumn(own, F.coalesce(F.col("doc_id").cast("long"), made))
+    found = classes(named.select(F.col(own).alias("doc_id"), "text"), shingle, percent).filter("n_shingles > 0")
+    each = found.groupBy(F.col("doc_id").alias(own)).agg(F.first(F.col("doc_id") != F.col("component_id")).alias("gone"), F.count(F.lit(1)).alias("rows"))
+    marked = scratch.written(each.filter("gone or rows > 1"), "jaccard-marked")
+    several = scratch.written(marked.filter("not gone").select(own), "jaccard-several")  # mostly empty, so that its join sends no texts
+    named = named.withColumn(own, F.when(worded, F.col(own)))
+    once = named.join(marked.select(own), own, "left_anti")
+    again = named.join(several, own, "left_semi").withColumn(row, F.row_number().over(W.partitionBy(own).orderBy(F.col("doc_id").isNull(), "text")))
+    return once.select(docs.columns).unionByName(again.filter(F.col(row) == 1).select(docs.columns))
