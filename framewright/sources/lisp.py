@@ -62,7 +62,7 @@ def parse(text: str) -> list[tuple[str, dict]]:
         if reader.peek() != "(":
             reader.take()
             continue
-        got = reader.group() if reader.tokens.count(")") else None
+        got = reader.group()
         if isinstance(got, tuple):
             out.append(got)
     return out
