@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright.functions.columns import first
-from framewright.operators import datasets, extract, frames, present, text, trees, verbnouns
+from framewright.operators import datasets, extract, frames, lookups, present, search, text, trees, verbnouns
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,6 +100,43 @@ def arg_samples(spark, sf_dir):
     return datasets.arg_samples(_structures(spark, sf_dir))
 
 
+def subtree_spans(spark, sf_dir):
+    """Bounds and text of the subtree of each token of the sentences with a nominalization."""
+    toks = trees.trees(frames.parsed(_annotated(spark, sf_dir))).select("doc_id", "sent_id", F.explode("toks").alias("t"))
+    return toks.select("doc_id", "sent_id", "t.i", F.array_min("t.subtree").alias("lo"), F.array_max("t.subtree").alias("hi"), F.size("t.subtree").alias("n"), "t.text")
+
+
+def extraction_strings(spark, sf_dir):
+    """The extractions of each predicate as JSON; of predicates with one text in a sentence the last one stays."""
+    return present.as_strings(_structures(spark, sf_dir))
+
+
+def possible_types(spark, sf_dir):
+    """The types that each span of a predicate has among its extractions."""
+    args = _structures(spark, sf_dir).select("doc_id", "sent_id", "pred_i", F.explode("args").alias("a")).select("doc_id", "sent_id", "pred_i", "a.start", "a.end", "a.type")
+    return lookups.options_by_span(args, ["doc_id", "sent_id", "pred_i"]).withColumn("types", F.array_join("types", ","))
+
+
+def noun_samples(spark, sf_dir):
+    """VERB-NOM for the corpus' nominalizations that occur twice or more, NOT-NOM for nouns that are none; nominalizations that occur once are left out."""
+    tokens = _annotated(spark, sf_dir)
+    noms = frames.predicates(tokens).groupBy(F.col("nom").alias("noun")).agg(F.count(F.lit(1)).alias("n"))
+    return datasets.noun_samples(frames.parsed(tokens), noms.filter("n > 1").select("noun", F.lit("VERB-NOM").alias("type")), noms)
+
+
+def search_by_example(spark, sf_dir):
+    """Sentences in which a verb that occurs twice or more has the asked arguments: its subject as `who`, its object as `what`."""
+    asked = verb_noun_map(spark, sf_dir).filter("n > 1")
+    searched = asked.select("verb", F.explode(F.array(F.struct(F.lit("SUBJECT").alias("type"), F.lit("who").alias("label")), F.struct(F.lit("OBJECT").alias("type"), F.lit("what").alias("label")))).alias("x")).select("verb", "x.*")
+    hits = search.search(_structures(spark, sf_dir), searched)
+    return hits.select("doc_id", "sent_id", "pred_i", "verb", F.col("found")["who"].alias("who"), F.col("found")["what"].alias("what"))
+
+
+def word_offsets(spark, sf_dir):
+    """Words of the document before each sentence, with one marker a sentence."""
+    return present.word_offsets(clean_sentences(spark, sf_dir), extra=1).select("doc_id", "sent_id", "first_word")
+
+
 def golden_diff(spark, sf_dir):
     return frames.golden_diff(extract_frames(spark, sf_dir), frame_product(spark, sf_dir), ["doc_id", "sent_id", "pred_i"])
 
@@ -119,7 +156,7 @@ def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, golden_diff, all_forms, balanced_sample)}
+    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, subtree_spans, extraction_strings, possible_types, noun_samples, search_by_example, word_offsets, golden_diff, all_forms, balanced_sample)}
 
 
 _words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
@@ -158,10 +195,54 @@ ev AS (SELECT doc_id, sent_id, pred_i, max(n_args) AS n_args, count(*) AS k, reg
 ids AS (SELECT doc_id, sent_id, pred_i, CAST(row_number() OVER w - 1 AS INT) AS event_id, CAST(coalesce(sum(n_args + 1) OVER (PARTITION BY doc_id, sent_id ORDER BY pred_i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INT) AS argument_id, n_args,
   CASE WHEN k > 1 THEN verb || ' (' || k || ')' ELSE verb END AS label FROM ev WINDOW w AS (PARTITION BY doc_id, sent_id ORDER BY pred_i))
 """
+# Heads of the tree, each token's subtree, and the extractions' arguments with their spans and JSON.
+_SPANS = _TREE.rstrip().replace("WITH raw", "WITH RECURSIVE raw", 1) + r""",
+heads AS (SELECT a.doc_id, a.sent_id, a.i, CASE WHEN n.i IS NOT NULL THEN n.pred_i WHEN x.is_nom AND a.pos IN ('NOUN', 'PRON') OR a.w IN ('of', 'by') AND m.i IS NOT NULL THEN a.i + 1 END AS head
+  FROM ann a LEFT JOIN near n ON n.doc_id = a.doc_id AND n.sent_id = a.sent_id AND n.i = a.i AND n.pred_i IS NOT NULL LEFT JOIN ann x ON x.doc_id = a.doc_id AND x.sent_id = a.sent_id AND x.i = a.i + 1
+  LEFT JOIN near m ON m.doc_id = a.doc_id AND m.sent_id = a.sent_id AND m.i = a.i + 1 AND m.pred_i IS NOT NULL WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = a.doc_id AND p.sent_id = a.sent_id)),
+up AS (SELECT doc_id, sent_id, i AS top, i AS leaf FROM heads UNION ALL SELECT u.doc_id, u.sent_id, h.head, u.leaf FROM up u JOIN heads h ON h.doc_id = u.doc_id AND h.sent_id = u.sent_id AND h.i = u.top WHERE h.head IS NOT NULL),
+sub AS (SELECT u.doc_id, u.sent_id, u.top AS i, min(u.leaf) AS lo, max(u.leaf) AS hi, CAST(count(*) AS INT) AS n, string_agg(a.w, ' ' ORDER BY a.i) AS text FROM up u JOIN ann a ON a.doc_id = u.doc_id AND a.sent_id = u.sent_id AND a.i = u.leaf GROUP BY ALL),
+xt AS (SELECT doc_id, sent_id, pred_i, nom, coalesce(subj_i, -1) AS si, coalesce(obj_i, -1) AS oi FROM best2),
+arg AS (SELECT *, 'SUBJECT' AS name, si AS head_i FROM xt WHERE si >= 0 UNION ALL SELECT *, 'OBJECT', oi FROM xt WHERE oi >= 0),
+placed AS (SELECT a.*, c.position, CASE WHEN c.position IN ('of', 'by') THEN t.lo + 1 ELSE t.lo END AS s, t.hi + 1 AS e FROM arg a JOIN cand2 c ON c.doc_id = a.doc_id AND c.sent_id = a.sent_id AND c.pred_i = a.pred_i AND c.arg_i = a.head_i
+  JOIN sub t ON t.doc_id = a.doc_id AND t.sent_id = a.sent_id AND t.i = a.head_i),
+spanned AS (SELECT p.*, lower(array_to_string(l.ws[s + 1:e], ' ')) AS text FROM placed p JOIN lists l ON l.doc_id = p.doc_id AND l.sent_id = p.sent_id),
+quoted AS (SELECT *, '"' || replace(replace(text, '\', '\\'), '"', '\"') || '"' AS q FROM spanned),
+js AS (SELECT doc_id, sent_id, pred_i, nom, si, oi, '[' || string_agg('{"name":"' || name || '","type":"' || name || '","head_i":' || head_i || ',"position":"' || position || '","start":' || s || ',"end":' || e || ',"text":' || q || '}', ',' ORDER BY head_i) || ']' AS j,
+  '{' || string_agg('"' || name || '":' || q, ',' ORDER BY head_i) || '}' AS brief FROM quoted GROUP BY ALL),
+one AS (SELECT * FROM js QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, pred_i ORDER BY j) = 1),
+tagged AS (SELECT o.doc_id, o.sent_id, o.pred_i, a.i, a.w, min(p.name) AS name, min(p.s) AS s, min(p.e) AS e FROM one o JOIN ann a ON a.doc_id = o.doc_id AND a.sent_id = o.sent_id
+  LEFT JOIN (SELECT z.*, row_number() OVER (PARTITION BY z.doc_id, z.sent_id, z.pred_i, z.si, z.oi, b.i ORDER BY z.head_i) AS k, b.i FROM placed z JOIN ann b ON b.doc_id = z.doc_id AND b.sent_id = z.sent_id AND b.i >= z.s AND b.i < z.e) p
+  ON p.doc_id = o.doc_id AND p.sent_id = o.sent_id AND p.pred_i = o.pred_i AND p.si = o.si AND p.oi = o.oi AND p.i = a.i AND p.k = 1 GROUP BY ALL)
+"""
+
+
+def _lines(tag: str) -> str:
+    return _SPANS + f"SELECT doc_id, sent_id, pred_i, string_agg(w || '/' || {tag}, ' ' ORDER BY i) AS line FROM tagged GROUP BY ALL"
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "iob_tags": _lines("CASE WHEN name IS NOT NULL THEN CASE WHEN s = i THEN 'B-' ELSE 'I-' END || name WHEN i = pred_i THEN 'NOM' ELSE 'O' END"),
+        "iobes_tags": _lines("CASE WHEN name IS NOT NULL THEN CASE WHEN e - s = 1 THEN 'S-' WHEN s = i THEN 'B-' WHEN e - 1 = i THEN 'E-' ELSE 'I-' END || name || CASE WHEN i = pred_i THEN '-NOM' ELSE '' END WHEN i = pred_i THEN 'O-NOM' ELSE 'O' END"),
+        "arg_samples": _SPANS
+        + """SELECT lower(array_to_string(l.ws, ' ')) AS sentence, pred_i AS predicate_idx, nom AS predicate_lemma, false AS is_verb, regexp_replace(nom, 'ion$', 'e') AS verb, head_i AS arg_head_idx, s AS arg_start_idx, e AS arg_end_idx, text AS arg, name AS label, 'ARGS' AS tagset_type
+            FROM (SELECT * FROM (SELECT DISTINCT doc_id, sent_id, pred_i, nom, name, head_i, s, e, text FROM spanned)
+              WINDOW a AS (PARTITION BY doc_id, sent_id, pred_i, s, e), b AS (PARTITION BY doc_id, sent_id, pred_i, name) QUALIFY min(name) OVER a = max(name) OVER a AND min(s) OVER b = max(s) OVER b AND min(e) OVER b = max(e) OVER b) r
+            JOIN lists l USING (doc_id, sent_id) WHERE head_i <> pred_i""",
+        "subtree_spans": _SPANS + "SELECT * FROM sub",
+        "extraction_strings": _SPANS
+        + """SELECT doc_id, sent_id, nom AS predicate, '[' || all_of || ']' AS extractions FROM (SELECT doc_id, sent_id, pred_i, nom, string_agg(brief, ',' ORDER BY brief) AS all_of FROM js GROUP BY ALL)
+            QUALIFY row_number() OVER (PARTITION BY doc_id, sent_id, nom ORDER BY pred_i DESC) = 1""",
+        "possible_types": _SPANS + 'SELECT doc_id, sent_id, pred_i, s AS "start", e AS "end", array_to_string(list_sort(list_distinct(list(name))), \',\') AS types FROM spanned GROUP BY doc_id, sent_id, pred_i, s, e',
+        "noun_samples": _WITH.rstrip()
+        + """, noms AS (SELECT nom, count(*) AS k FROM pred GROUP BY nom)
+            SELECT a.doc_id, a.sent_id, a.i, a.w AS lemma, CASE WHEN n.k > 1 THEN 'VERB-NOM' ELSE 'NOT-NOM' END AS label FROM ann a LEFT JOIN noms n ON n.nom = a.w
+            WHERE a.pos = 'NOUN' AND NOT suffix(a.w, 's') AND regexp_matches(a.w, '^[a-z]+(-+[a-z]+)*$') AND (n.k IS NULL OR n.k > 1) AND EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = a.doc_id AND p.sent_id = a.sent_id)""",
+        "search_by_example": _SPANS
+        + """, asked AS (SELECT verb FROM (SELECT verb, count(*) AS k FROM pred GROUP BY verb) WHERE k > 1)
+            SELECT DISTINCT doc_id, sent_id, pred_i, verb, who, what FROM (SELECT doc_id, sent_id, pred_i, regexp_replace(nom, 'ion$', 'e') AS verb, si, oi, max(text) FILTER (name = 'SUBJECT') AS who, max(text) FILTER (name = 'OBJECT') AS what FROM spanned GROUP BY ALL) JOIN asked USING (verb)""",
+        "word_offsets": _WITH + "SELECT doc_id, sent_id, CAST(coalesce(sum(len(string_split(sentence, ' ')) + 1) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word FROM gated",
         "clean_sentences": _WITH + "SELECT * FROM gated",
         "ascii_filter": r"SELECT lang, count(*) FILTER (regexp_full_match(text, '[\x00-\x7F]*')) AS n_ascii, count(text) AS n_texts FROM documents GROUP BY lang",
         "tokenize_hyphen": _WITH + "SELECT * FROM tok",
