@@ -60,6 +60,11 @@ def balanced(rows: DataFrame, task: str, order: str) -> DataFrame:
     return numbered.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), times))).withColumn("turn", F.col("_row") + F.col("_k") * F.col("_n")).drop("_row", "_n", "_top", "_k")
 
 
+def split_by_task(rows: DataFrame, task: str = "tagset_type") -> tuple[DataFrame, DataFrame]:
+    """The rows of the arguments' task (ARGS) and those of any other; rows without a task are in neither."""
+    return rows.filter(F.col(task) == "ARGS"), rows.filter(F.col(task) != "ARGS")
+
+
 def insert_markers(words, arg_start, arg_end, pred_i):
     """The words with <arg> around [arg_start, arg_end) and <pred> around the predicate, which must not lie inside the argument."""
     n = F.size(words)

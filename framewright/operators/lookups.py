@@ -35,6 +35,28 @@ def suitable_verb(orth: Column, verb: Column, is_verb: Column) -> Column:
     return base(F.when(is_verb, orth).otherwise(verb))
 
 
+def find(tokens: DataFrame, entries: DataFrame, matcher: DataFrame | None = None, limited: list[str] | None = None, using_default: bool = False, be_certain: bool = False) -> DataFrame:
+    """The verbs and nouns of `tokens` (orth, lemma, pos) that are predicates, with entry_key, is_verb and suitable (their verb).
+
+    `entries` (entry_key, is_verb, verb, certain; one row an entry) are looked up by a verb's lemma and a noun's form, in lower case; a word
+    that isn't there has the key DEFAULT. The matcher (is_verb, word, verb; one verb a word) gives the verb where the entry gives none that
+    is among `limited` (any verb, if empty); using_default asks it alone. be_certain leaves out nouns that can be common, as those of DEFAULT.
+    """
+    is_verb = F.when(F.col("pos") == "VERB", True).when(F.col("pos") == "NOUN", False)
+    words = tokens.withColumn("is_verb", is_verb).filter("is_verb is not null").withColumn("_form", F.lower(F.when(F.col("is_verb"), F.col("lemma")).otherwise(F.col("orth"))))
+    own = entries.select(F.col("entry_key").alias("_form"), "is_verb", F.when(F.col("is_verb"), base(F.col("entry_key"))).otherwise(base(F.col("verb"))).alias("_verb"), F.col("certain").alias("_certain"), F.lit(True).alias("_known"))
+    none = {"_verb": F.lit(None).cast("string"), "_certain": F.lit(None).cast("boolean"), "_known": F.lit(None).cast("boolean")}
+    seen = words.withColumns(none) if using_default else words.join(own, ["_form", "is_verb"], "left")
+    good = lambda v: F.coalesce((v != "") & (v.isin(limited) if limited else F.lit(True)), F.lit(False))
+    verb = F.col("_verb")
+    if matcher is not None:
+        seen = seen.join(matcher.select("is_verb", F.col("word").alias("_form"), F.col("verb").alias("_matched")), ["_form", "is_verb"], "left")
+        verb = F.when(good(F.col("_verb")), F.col("_verb")).otherwise(F.col("_matched"))
+    sure = F.col("is_verb") | F.coalesce("_certain", F.lit(False)) if be_certain else F.lit(True)
+    key = F.when(F.col("_known"), F.col("_form")).otherwise("DEFAULT")
+    return seen.withColumn("suitable", verb).filter(good(F.col("suitable")) & sure).select(*tokens.columns, key.alias("entry_key"), "is_verb", "suitable")
+
+
 def types_of(rows: DataFrame) -> DataFrame:
     """stem and its distinct types, sorted, over all entries of a chain (entry_key, type)."""
     return rows.groupBy(base(F.col("entry_key")).alias("stem")).agg(F.sort_array(F.collect_set("type")).alias("types"))

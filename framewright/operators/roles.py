@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from framewright.functions.columns import let
+from framewright import constants as C
+from framewright.functions.columns import let, strings
 
 
 def assigned(scores: DataFrame, key: list[str]) -> DataFrame:
@@ -31,6 +32,29 @@ def assigned(scores: DataFrame, key: list[str]) -> DataFrame:
     return pairs.select(*key, F.explode("_pairs").alias("_pair")).select(*key, "_pair.cand", "_pair.label").filter("label <> 'NONE'")
 
 
+def determined(options: DataFrame, scores: DataFrame, key: list[str], labels: list[str]) -> DataFrame:
+    """Columns of `key`, cand and types from options (key, pred_i, cand, start, lemma, types) and scores (key, cand, label, logp).
+
+    Pronouns, candidates that start at the predicate and those without a type among `labels` (with PP1 and PP2, if PP is one) keep
+    their types. The others are `assigned` by the scores of their types and of NONE; PP1 and PP2 have the score of PP. Who gets no label keeps
+    the types outside `labels`; but where NONE is the best of all of them, only the fixed candidates stay. Missing scores are impossible labels.
+    """
+    own = strings(*labels, *(["PP1", "PP2"] if "PP" in labels else []))
+    fixed = (F.col("start") == F.col("pred_i")) | ~F.arrays_overlap("types", own) | F.col("lemma").isin(C.PRONOUNS)
+    marked = options.withColumn("_fixed", F.coalesce(fixed, F.lit(True)))
+    free = marked.filter("not _fixed")
+    allowed = F.array_intersect(F.array_union("types", strings("NONE")), F.array_union(own, strings("NONE")))
+    asked = free.select(*key, "cand", F.explode(allowed).alias("_asked"))
+    asked = asked.withColumn("label", F.when(F.col("_asked").isin("PP1", "PP2"), "PP").otherwise(F.col("_asked")))
+    given = asked.join(scores, [*key, "cand", "label"]).select(*key, "cand", F.col("_asked").alias("label"), "logp")
+    best = given.groupBy(*key, "cand").agg(F.max_by("label", F.struct("logp", "label")).alias("best"))
+    live = best.filter("best <> 'NONE'").select(key).distinct()
+    got = assigned(given, key).withColumnRenamed("label", "_label")
+    rest = free.join(live, key, "left_semi").join(got, [*key, "cand"], "left")
+    types = F.when(F.col("_label").isNotNull(), F.array("_label")).otherwise(F.array_except("types", own))
+    return marked.filter("_fixed").select(*key, "cand", "types").unionByName(rest.select(*key, "cand", types.alias("types")))
+
+
 def lowest_entropy(args: DataFrame, key: list[str]) -> DataFrame:
     """Of (key, type, cand, entropy, is_default) the candidate of least entropy of each type; two for PP under the default entry."""
     w = W.partitionBy(*key, "type").orderBy("entropy", "cand")
