@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from framewright.llm import bpe, decontaminate, fingerprints, jaccard, repeats, sharding, token_counts, token_files, toxicity, warc
+from framewright.llm import bpe, codes, decontaminate, fingerprints, jaccard, negatives, pii, repeats, sharding, token_counts, token_files, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,9 +53,22 @@ def op10_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codes.compressed(table(spark, sf_dir, "embeddings"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, label)
+
+
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_shard_lpt, op2_token_counts, op3_token_files, op4_warc, op5_byte_bpe, op6_toxicity, op7_bottom_k_fingerprints, op8_jaccard_join, op9_decontaminate, op10_repeats)}
+    return {f.__name__: f for f in (op1_shard_lpt, op2_token_counts, op3_token_files, op4_warc, op5_byte_bpe, op6_toxicity, op7_bottom_k_fingerprints, op8_jaccard_join, op9_decontaminate, op10_repeats, op11_vector_codes, op12_hard_negatives, op13_personal_data)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE}
+    return {"op4_warc": warc.ORACLE, "op9_decontaminate": decontaminate.ORACLE, "op11_vector_codes": codes.ORACLE, "op12_hard_negatives": negatives.ORACLE}
