@@ -16,6 +16,9 @@ from framewright.operators.subcats import ARGS, OPTIONAL
 
 #: The number behind a preposition's complement.
 SUFFIXES = ("", "1", "2")
+# Irregular plurals by ending; those that only whole words have.
+IRREGULAR = {"child": "children", "foot": "feet", "goose": "geese", "life": "lives", "man": "men", "mouse": "mice", "person": "people", "tooth": "teeth", "sis": "ses", "thief": "thieves", "wife": "wives"}
+WHOLE = {"child", "foot", "goose", "life", "mouse", "person", "tooth"}
 
 
 def _below(step: str):
@@ -37,26 +40,30 @@ def special_values(raw: Column, path: list[str]) -> Column:
     return F.flatten(F.transform(level, lambda x: F.when(x.startswith("["), F.from_json(x, "array<string>")).when(x.startswith("{"), names(x)).otherwise(F.array(x))))
 
 
-def prepositions(rows: DataFrame) -> DataFrame:
-    """PVAL, PVAL1 and PVAL2 as PP, PP1 and PP2; for nouns PVAL-NOM* replaces them where there is a NOM-ROLE-FOR-PVAL*, whose roles follow.
-
-    A subcategorization with PP-PP and without PP2 takes that of PP1, else of PP; one that has neither fails the query.
-    """
-    args = F.coalesce("args", F.create_map().cast(ARGS))
+def preposition_args(args: Column, is_verb: Column) -> Column:
+    """PVAL, PVAL1 and PVAL2 as PP, PP1 and PP2; for nouns PVAL-NOM* replaces them where there is a NOM-ROLE-FOR-PVAL*, whose roles follow."""
     old = [name + s for s in SUFFIXES for name in ("PVAL", "PVAL-NOM", "NOM-ROLE-FOR-PVAL")]
-    kept, fresh = F.map_filter(args, lambda k, _: ~k.isin(*old, "PP", "PP1", "PP2")), {}
+    fresh = {}
     for s in SUFFIXES:
         plain, roles = F.coalesce(args["PVAL" + s], args["PP" + s]), args["NOM-ROLE-FOR-PVAL" + s]
         given = F.concat(F.coalesce(args["PVAL-NOM" + s], plain, strings()), roles)
-        fresh["PP" + s] = F.when(~F.col("is_verb") & roles.isNotNull(), given).otherwise(plain)
-    missing = F.raise_error(F.concat(F.lit("no preposition for "), F.col("subcat"))).cast("array<string>")
-    fresh["PP2"] = F.when(F.col("subcat").contains("PP-PP"), F.coalesce(fresh["PP2"], fresh["PP1"], fresh["PP"], missing)).otherwise(fresh["PP2"])
+        fresh["PP" + s] = F.when(~is_verb & roles.isNotNull(), given).otherwise(plain)
     found = F.array_compact(F.array(*[F.when(v.isNotNull(), F.struct(F.lit(k).alias("key"), v.alias("value"))) for k, v in fresh.items()]))
-    return rows.withColumn("args", F.map_concat(kept, F.map_from_entries(found)))
+    return F.map_concat(F.map_filter(args, lambda k, _: ~k.isin(*old, "PP", "PP1", "PP2")), F.map_from_entries(found))
+
+
+def prepositions(rows: DataFrame) -> DataFrame:
+    """`preposition_args` of each row. A subcategorization with PP-PP and without PP2 takes that of PP1, else of PP; one that has neither fails the query."""
+    args = preposition_args(F.coalesce("args", F.create_map().cast(ARGS)), F.col("is_verb"))
+    missing = F.raise_error(F.concat(F.lit("no preposition for "), F.col("subcat"))).cast("array<string>")
+    second = lambda a: F.map_concat(a, F.create_map(F.lit("PP2"), F.coalesce(a["PP1"], a["PP"], missing)))
+    return rows.withColumn("args", args).withColumn("args", F.when(F.col("subcat").contains("PP-PP") & ~F.map_contains_key("args", F.lit("PP2")), second(F.col("args"))).otherwise(F.col("args")))
+
 
+def requirements(rows: DataFrame, defaults: dict[str, list[str]] | str, siblings: str | None = None) -> DataFrame:
+    """Required and optional complements from `needs` (map of complement to constraints) and `defaults` (subcat to complements required by it, or a column with these).
 
-def requirements(rows: DataFrame, defaults: dict[str, list[str]]) -> DataFrame:
-    """Required and optional complements from `needs` (map of complement to constraints) and `defaults` (subcat to complements required by it).
+    An entry's subcategorizations are gathered from its rows, or given as the column `siblings`.
 
     Adds det_poss_only and n_n_mod_only, complements required under that constraint only. An optional position wins over `needs` and
     `defaults` and leaves args, as do complements without positions. OBJECT of NOM-NP* is required where the entry has the
@@ -67,10 +74,14 @@ def requirements(rows: DataFrame, defaults: dict[str, list[str]]) -> DataFrame:
     part = F.when(F.col("is_verb") & F.map_contains_key(args, F.lit("PARTICLE")), strings("PARTICLE")).otherwise(strings())
     plain = F.map_keys(F.map_filter(needs, lambda _, v: F.size(v) == 0))
     free = F.map_keys(F.map_filter(args, lambda _, v: F.array_contains(v, OPTIONAL)))
-    usual = F.coalesce(F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), strings(*v))])[F.col("subcat")], strings()) if defaults else strings()
+    if isinstance(defaults, str):
+        usual = F.coalesce(defaults, strings())
+    else:
+        usual = F.coalesce(F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), strings(*v))])[F.col("subcat")], strings()) if defaults else strings()
     asked = F.array_union(F.array_except(F.array_union(part, plain), free), F.array_except(usual, free))
 
-    name, siblings = F.col("subcat"), F.collect_set("subcat").over(W.partitionBy("entry_key"))
+    name = F.col("subcat")
+    siblings = F.collect_set("subcat").over(W.partitionBy("entry_key")) if siblings is None else F.col(siblings)
     without = F.replace(F.replace(name, F.lit("NOM-PART-NP"), F.lit("NOM-PART")), F.lit("NOM-NP-"), F.lit("NOM-"))
     twin = F.when(name == "NOM-NP", strings("NOM-INTRANS", "NOM-INTRANS-RECIP")).when(name == "NOM-NP-AS-NP-SC", strings("NOM-AS-NP")).otherwise(F.array(without))
     object_ = F.when(~without_part(name).startswith("NOM-NP"), "none").when(F.arrays_overlap(twin, F.col("_siblings")), "needed").otherwise("free")
@@ -95,7 +106,7 @@ def kinds(rows: DataFrame) -> DataFrame:
     Nouns keep subcategorizations with PART only if their type has PART. An entry without a verb or a plural has none of that kind,
     and no noun where there is no singular. Verbs take their verb as orth and lose verb, nom_type and plural; plurals take their plural.
     """
-    fits = F.coalesce(F.col("nom_type").contains("PART"), F.lit(False)) | ~F.col("subcat").contains("PART")
+    fits = F.coalesce(F.col("nom_type").contains("PART"), F.lit(False)) | F.coalesce(~F.col("subcat").contains("PART"), F.lit(True))
     singular = ~F.coalesce("singular_false", F.lit(False))
     of_noun = F.array_compact(F.array(F.when(singular, "nom"), F.when(F.col("plural").isNotNull(), "plural")))
     which = F.when(F.col("is_verb"), F.array_compact(F.array(F.when(F.col("verb").isNotNull(), "verb")))).when(fits, of_noun).otherwise(strings())
@@ -107,8 +118,12 @@ def kinds(rows: DataFrame) -> DataFrame:
 
 
 def plural(word: Column) -> Column:
-    """The regular English plural; irregular ones have to be given by the lexicon."""
-    return F.when(word.rlike("(?i)[^aeiou]y$"), F.regexp_replace(word, "y$", "ies")).when(word.rlike("(?i)(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    """The English plural: of the last word's ending where it is irregular (IRREGULAR), else the regular one."""
+    irregular = F.lit(None).cast("string")
+    for end, many in IRREGULAR.items():
+        irregular = F.coalesce(irregular, F.when(word.rlike(f"(^|[^a-z]){end}$") if end in WHOLE else word.endswith(end), F.concat(F.substr(word, F.lit(1), F.length(word) - len(end)), F.lit(many))))
+    regular = F.when(word.rlike("(?i)[^aeiou]y$"), F.regexp_replace(word, "y$", "ies")).when(word.rlike("(?i)(s|x|z|ch|sh)$"), F.concat(word, F.lit("es"))).otherwise(F.concat(word, F.lit("s")))
+    return F.coalesce(irregular, regular)
 
 
 def copied(entries: DataFrame, copies: DataFrame) -> DataFrame:

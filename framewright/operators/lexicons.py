@@ -104,10 +104,10 @@ def split_entries(entries: DataFrame) -> DataFrame:
 
 
 def with_default(lexicon: DataFrame) -> DataFrame:
-    """Adds for verbs and for nouns the DEFAULT entry: of each complement the union of all its properties, none required."""
+    """Adds for verbs and for nouns the DEFAULT entry: of each complement the union of all its properties, none required; PP1 and PP2 count as PP, kinds of control as one."""
     lists = ["positions", "prefixes", "root_upostags", "root_urelations", "root_patterns", "constraints"]
     a = F.col("a")
-    kind = F.when(a["type"].isin("PP1", "PP2"), "PP").otherwise(a["type"])
+    kind = F.when(a["type"].isin("PP1", "PP2"), "PP").otherwise(F.regexp_replace(a["type"], "-(OC|SC|POC|NPC|VC)$", ""))
     each = lexicon.select("is_verb", F.explode("args").alias("a")).select("is_verb", kind.alias("type"), *[a[c].alias(c) for c in lists])
     # Prefixes keep a fixed order: long ones first, then by name.
     order = lambda c: F.transform(F.array_sort(F.transform(c, lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))), lambda s: s["x"])

@@ -43,26 +43,31 @@ def clauses(rows: DataFrame) -> DataFrame:
     return rows.withColumn("clauses", F.filter(kept, lambda c: F.size(F.map_keys(c)) > 1))
 
 
-def renamed(rows: DataFrame, table: dict[str, str]) -> DataFrame:
-    """Complements under the names that `table` gives; IGNORE drops one. Of several with one new name the last of the table stays.
+def renamed(rows: DataFrame, table: dict[str, str] | str) -> DataFrame:
+    """Complements under the names that `table` (a dict, or a column with a map) gives; IGNORE drops one. Of several with one new name the last of the table stays.
 
-    A name moves in required and optional with its complement, unless the other list has the new name already.
+    A name moves in required and optional with its complement, unless the other list has the new name already, the name is dropped,
+    or it is itself one of the table's new names: what the lists say then is said in new names.
     """
-    moves = {k: v for k, v in table.items() if k != v}
-    if not moves:
-        return rows
-    to = F.create_map(*[F.lit(x) for pair in moves.items() for x in pair])
-    args, places = _args(), F.array(*[F.lit(k) for k in moves])
+    if isinstance(table, dict):
+        moves = {k: v for k, v in table.items() if k != v}
+        if not moves:
+            return rows
+        to, every = F.create_map(*[F.lit(x) for pair in moves.items() for x in pair]), strings(*table.values())
+    else:
+        given = F.coalesce(table, F.create_map().cast("map<string,string>"))
+        to, every = F.map_filter(given, lambda k, v: k != v), F.map_values(given)
+    args, places = _args(), F.map_keys(to)
     old = F.map_filter(args, lambda k, _: ~F.map_contains_key(to, k))
     came = F.filter(places, lambda k: F.map_contains_key(args, k) & (to[k] != IGNORE))
     last = F.filter(came, lambda k: F.array_position(came, k) == F.array_max(F.transform(F.filter(came, lambda j: to[j] == to[k]), lambda j: F.array_position(came, j))))
     fresh = F.map_from_entries(F.transform(last, lambda k: F.struct(to[k], args[k])))
     untouched = F.map_filter(old, lambda k, _: ~F.map_contains_key(fresh, k))
-    here = lambda x: F.map_contains_key(args, x) & F.map_contains_key(to, x)
+    here = lambda x: F.map_contains_key(args, x) & F.map_contains_key(to, x) & (to[x] != IGNORE) & ~F.array_contains(every, x)
 
     def moved(own: str, other: str) -> Column:
         keep = F.filter(_names(own), lambda x: ~here(x))
-        gone = F.filter(_names(own), lambda x: here(x) & (to[x] != IGNORE) & ~F.array_contains(_names(other), to[x]))
+        gone = F.filter(_names(own), lambda x: here(x) & ~F.array_contains(_names(other), to[x]))
         return F.array_sort(F.array_distinct(F.concat(keep, F.transform(gone, lambda x: to[x]))))
 
     lists = rows.withColumns({"_required": moved("required", "optional"), "_optional": moved("optional", "required")})
@@ -76,15 +81,17 @@ def with_special(rows: DataFrame, special: str) -> DataFrame:
     return rows.withColumn("args", F.map_concat(_args(), more))
 
 
-def with_defaults(rows: DataFrame, defaults: dict[str, list[str]]) -> DataFrame:
-    """Missing complements with default positions; a default that has OPTIONAL-POSITION makes its complement optional.
+def with_defaults(rows: DataFrame, defaults: dict[str, list[str]] | str) -> DataFrame:
+    """Missing complements with default positions (a dict, or a column with a map); one that has OPTIONAL-POSITION makes its complement optional.
 
     A complement that is required and optional by default fails the query.
     """
-    optional = strings(*[k for k, v in defaults.items() if OPTIONAL in v])
-    given = {k: [x for x in v if x != OPTIONAL] for k, v in defaults.items()}
-    fill = [F.lit(x) if i % 2 == 0 else x for k, v in given.items() if v for i, x in enumerate((k, strings(*v)))]
-    more = F.create_map(*fill).cast(ARGS) if fill else F.create_map().cast(ARGS)
+    if isinstance(defaults, dict):
+        given = F.create_map(*[x for k, v in defaults.items() for x in (F.lit(k), strings(*v))]).cast(ARGS) if defaults else F.create_map().cast(ARGS)
+    else:
+        given = F.coalesce(defaults, F.create_map().cast(ARGS))
+    optional = F.map_keys(F.map_filter(given, lambda _, v: F.array_contains(v, OPTIONAL)))
+    more = F.map_filter(F.transform_values(given, lambda _, v: F.array_remove(v, OPTIONAL)), lambda _, v: F.size(v) > 0)
     both = F.array_intersect(optional, _names("required"))
     checked = F.when(F.size(both) > 0, F.raise_error(F.concat(F.lit("required and optional by default: "), F.array_join(both, ", ")))).otherwise(F.array_sort(F.array_union(_names("optional"), optional)))
     return rows.withColumns({"optional": checked, "args": F.map_concat(_args(), F.map_filter(more, lambda k, _: ~F.map_contains_key(_args(), k)))})

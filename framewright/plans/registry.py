@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from framewright.functions.columns import first
 from framewright.operators import datasets, extract, frames, lookups, present, search, text, trees, verbnouns
+from framewright.plans import lexicon_queries
 
 
 def english(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,12 +152,33 @@ def balanced_sample(spark, sf_dir):
     return datasets.balanced(labels, "toxic", "doc_id").select("doc_id", "toxic", "turn")
 
 
+def _lexicon(spark, sf_dir):
+    """The reader's rows of a lexicon with an entry for each nominalization of the corpus' English documents."""
+    return lexicon_queries.raw(spark, nominal_predicates(spark, sf_dir))
+
+
+def lexicon_arguments(spark, sf_dir):
+    return lexicon_queries.arguments(_lexicon(spark, sf_dir))
+
+
+def lexicon_links(spark, sf_dir):
+    return lexicon_queries.links(_lexicon(spark, sf_dir))
+
+
+def lexicon_splits(spark, sf_dir):
+    return lexicon_queries.splits(_lexicon(spark, sf_dir))
+
+
+def lexicon_defaults(spark, sf_dir):
+    return lexicon_queries.defaults(_lexicon(spark, sf_dir))
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_frames(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, subtree_spans, extraction_strings, possible_types, noun_samples, search_by_example, word_offsets, golden_diff, all_forms, balanced_sample)}
+    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, subtree_spans, extraction_strings, possible_types, noun_samples, search_by_example, word_offsets, golden_diff, all_forms, balanced_sample, lexicon_arguments, lexicon_links, lexicon_splits, lexicon_defaults)}
 
 
 _words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
@@ -222,7 +244,7 @@ def _lines(tag: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    return lexicon_queries.oracle_sql(_WITH) | {
         "iob_tags": _lines("CASE WHEN name IS NOT NULL THEN CASE WHEN s = i THEN 'B-' ELSE 'I-' END || name WHEN i = pred_i THEN 'NOM' ELSE 'O' END"),
         "iobes_tags": _lines("CASE WHEN name IS NOT NULL THEN CASE WHEN e - s = 1 THEN 'S-' WHEN s = i THEN 'B-' WHEN e - 1 = i THEN 'E-' ELSE 'I-' END || name || CASE WHEN i = pred_i THEN '-NOM' ELSE '' END WHEN i = pred_i THEN 'O-NOM' ELSE 'O' END"),
         "arg_samples": _SPANS

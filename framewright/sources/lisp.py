@@ -27,32 +27,44 @@ class _Reader:
         self.at += 1
         return self.tokens[self.at - 1]
 
-    def group(self):
-        """What stands between parentheses: tagged values, a map of named sub-groups, or a text."""
-        self.take()
-        fields, atoms, named = {}, [], {}
+    def items(self) -> list:
+        """What stands between parentheses, the first of which is taken: atoms, lists, and tags with their values as one map."""
+        out = []
         while self.peek() != ")":
             if self.peek().startswith(":"):
-                tag = self.take()[1:].upper()
-                fields[tag] = self.value()
+                out.append(self.fields())
             elif self.peek() == "(":
-                inner = self.group()
-                head, rest = inner if isinstance(inner, tuple) else (inner, {})
-                named[head] = rest
+                self.take()
+                out.append(self.items())
             else:
-                atoms.append(self.take().strip('"'))
+                out.append(self.take().strip('"'))
         self.at += 1
-        if fields or named:
-            return (" ".join(atoms), fields | named) if atoms else fields | named
-        return (atoms[0], {}) if len(atoms) == 1 else " ".join(atoms)
+        return out
+
+    def fields(self) -> dict:
+        """Tags and values up to the closing parenthesis; what stands without a tag is passed over."""
+        found = {}
+        while self.peek() != ")":
+            if self.peek().startswith(":"):
+                tag = self.take()[1:].upper()
+                found[tag] = self.value()
+            elif self.take() == "(":
+                self.items()
+        return found
 
     def value(self):
-        if self.peek() != "(":
-            return self.take().strip('"')
-        got = self.group()
-        if isinstance(got, tuple):
-            return got[0] if not got[1] else {got[0]: got[1]}
-        return got
+        """A text (several atoms are joined), a list of atoms, or a map where the list begins with a list."""
+        if self.peek() == "(":
+            self.take()
+            found = self.items()
+            if found and isinstance(found[0], list):
+                pairs = [x if isinstance(x, list) else [x] for x in found if x]
+                return {str(x[0]): x[1] if len(x) > 1 else {} for x in pairs}
+            return found
+        words = []
+        while self.peek() not in ("(", ")") and not self.peek().startswith(":"):
+            words.append(self.take().strip('"'))
+        return " ".join(words)
 
 
 def parse(text: str) -> list[tuple[str, dict]]:
@@ -62,9 +74,10 @@ def parse(text: str) -> list[tuple[str, dict]]:
         if reader.peek() != "(":
             reader.take()
             continue
-        got = reader.group()
-        if isinstance(got, tuple):
-            out.append(got)
+        reader.take()
+        got = reader.items()
+        if got and isinstance(got[0], str):
+            out.append((got[0], got[1] if len(got) > 1 else {}))
     return out
 
 

@@ -25,7 +25,10 @@ def test_objects_and_clauses(spark):
 def test_renamed(spark):
     rows = row(spark, args={"PP1": ["in"], "NP": ["x"], "SUBJECT": ["by"]}, required=["PP1", "SUBJECT"], optional=["NP"])
     got = subcats.renamed(rows, {"PP1": "PP", "NP": "IGNORE", "ADVP": "X", "SUBJECT": "SUBJECT"}).first()
-    assert got.args == {"PP": ["in"], "SUBJECT": ["by"]} and got.required == ["PP", "SUBJECT"] and got.optional == []
+    assert got.args == {"PP": ["in"], "SUBJECT": ["by"]} and got.required == ["PP", "SUBJECT"]
+    assert got.optional == ["NP"]  # a dropped complement can come back by its defaults, so the lists keep it
+    crossed = subcats.renamed(row(spark, args={"PP": ["in"], "PP1": ["on"]}, required=["P-POSSING", "PP"]), {"PP": "P-POSSING", "PP1": "PP"}).first()
+    assert crossed.args == {"P-POSSING": ["in"], "PP": ["on"]} and crossed.required == ["P-POSSING", "PP"]
     kept = subcats.renamed(row(spark, args={"A": ["1"], "B": ["2"]}, required=["A"], optional=["C"]), {"A": "C", "B": "C"}).first()
     assert kept.args == {"C": ["2"]} and kept.required == [] and kept.optional == ["C"]
 
