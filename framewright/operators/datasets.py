@@ -7,7 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from framewright import constants as C
+from framewright.functions.columns import strings
 from framewright.operators.extract import PREDICATE
+from framewright.operators.trees import children
 
 SAMPLE = "sentence string, predicate_idx int, predicate_lemma string, is_verb boolean, verb string, arg_head_idx int, arg_start_idx int, arg_end_idx int, arg string, label string, tagset_type string"
 
@@ -60,6 +62,54 @@ def balanced(rows: DataFrame, task: str, order: str) -> DataFrame:
     return numbered.withColumn("_k", F.explode(F.sequence(F.lit(0).cast("long"), times))).withColumn("turn", F.col("_row") + F.col("_k") * F.col("_n")).drop("_row", "_n", "_top", "_k")
 
 
+def certain_nouns(lexicon: DataFrame) -> DataFrame:
+    """noun: words of compiled nouns and plurals none of whose entries can be a common noun; a plural of a noun that is common in the plural is none."""
+    common = F.arrays_overlap("nouns", strings("EXISTS", "RARE-NOUN", "RARE-NOM")) | ((F.col("kind") == "plural") & F.array_contains("nouns", "PLUR-ONLY"))
+    return lexicon.filter("kind <> 'verb'").groupBy(F.lower("orth").alias("noun")).agg(F.bool_and(~common).alias("ok")).filter("ok").select("noun")
+
+
+def unused_spans(found: DataFrame, prepositions: list[str]) -> DataFrame:
+    """Adds `unused`: (start, end, text, head_i) of nominal children of the predicate that the extraction does not use.
+
+    Modifiers and clauses count only if they begin with one of the prepositions.
+    """
+    toks, pred = F.col("toks"), F.col("pred_i")
+    links = lambda t: F.when(F.col("is_verb"), t["dep"].isin("nsubj", "iobj", "dobj", "nmod:poss", "nsubjpass", "nmod")).otherwise(t["dep"].isin("nmod", "compound", "acl"))
+    begins = lambda t: F.exists(strings(*prepositions), lambda p: F.concat(t["text"], F.lit(" ")).startswith(F.concat(p, F.lit(" "))))
+    free = lambda t: ~F.exists("xs", lambda x: x["head_i"] == t["i"])
+    ok = lambda t: links(t) & (t["i"] != pred) & t["pos"].startswith("N") & free(t) & (~t["dep"].isin("nmod", "acl") | begins(t))
+    span = lambda t: F.struct(F.array_min(t["subtree"]).alias("start"), (F.array_max(t["subtree"]) + 1).alias("end"), t["text"].alias("text"), t["i"].alias("head_i"))
+    return found.withColumn("unused", F.transform(F.filter(children(toks, pred), ok), span))
+
+
+def combined_samples(found: DataFrame, certain: DataFrame, prepositions: list[str], tokens: DataFrame, nominals: DataFrame, verb_nouns: DataFrame) -> DataFrame:
+    """The whole dataset of arguments and nouns (SAMPLE): arguments of verbs and of certain nouns, unused candidates as NONE, and nouns.
+
+    A span with a type besides NONE loses NONE; then it must have one type, and its type, if not NONE, one span. Arguments on the
+    predicate are left out. Noun rows have no argument (-1) and the task NOUNS.
+    """
+    sure = found.withColumn("_form", F.lower(F.get("toks", F.col("pred_i"))["orth"])).join(certain.select(F.col("noun").alias("_form")).distinct().withColumn("_sure", F.lit(True)), "_form", "left").filter("is_verb or _sure")
+    sentence = F.array_join(F.transform("toks", lambda t: t["orth"]), " ")
+    both = unused_spans(sure, prepositions).select(*PREDICATE, "is_verb", "verb", sentence.alias("sentence"), F.get("toks", F.col("pred_i"))["lemma"].alias("predicate_lemma"), "args", "unused")
+    arg = F.transform(F.filter("args", lambda a: a["name"].isNotNull()), lambda a: F.struct(a["name"].alias("label"), a["start"].alias("start"), a["end"].alias("end"), a["text"].alias("text"), a["head_i"].alias("head_i")))
+    none = F.transform("unused", lambda u: F.struct(F.lit("NONE").alias("label"), u["start"].alias("start"), u["end"].alias("end"), u["text"].alias("text"), u["head_i"].alias("head_i")))
+    rows = both.select(*PREDICATE, "is_verb", "verb", "sentence", "predicate_lemma", F.explode(F.concat(arg, none)).alias("a")).select("*", "a.*").drop("a").distinct()
+    renamed = F.when(F.col("label").isin("PP1", "PP2"), "PP").otherwise(F.col("label"))
+    rows = rows.filter(renamed.isin(C.LABELS))
+    by_span, by_label = W.partitionBy(*PREDICATE, "start", "end"), W.partitionBy(*PREDICATE, "label")
+    rows = rows.withColumn("_one_span", (F.min("start").over(by_label) == F.max("start").over(by_label)) & (F.min("end").over(by_label) == F.max("end").over(by_label)))
+    typed = F.count_if(F.col("label") != "NONE").over(by_span) > 0
+    rows = rows.withColumn("_typed", typed).filter("not _typed or label <> 'NONE'").withColumn("_one_type", F.min("label").over(by_span) == F.max("label").over(by_span))
+    kept = rows.filter("_one_type and (label = 'NONE' or _one_span) and head_i <> pred_i").withColumn("label", renamed)
+    args = kept.select("sentence", F.col("pred_i").alias("predicate_idx"), "predicate_lemma", "is_verb", "verb", F.col("head_i").alias("arg_head_idx"), F.col("start").alias("arg_start_idx"), F.col("end").alias("arg_end_idx"), F.col("text").alias("arg"), "label", F.lit("ARGS").alias("tagset_type"))
+    sents = tokens.groupBy("doc_id", "sent_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "orth"))), lambda t: t["orth"]), " ").alias("sentence"))
+    nouns = noun_samples(tokens, nominals.join(certain, "noun", "left_semi"), verb_nouns).join(sents, ["doc_id", "sent_id"])
+    verbs = verb_nouns.groupBy(F.col("noun").alias("lemma")).agg(F.min("verb").alias("_verb"))
+    nouns = nouns.join(verbs, "lemma", "left").withColumn("_v", F.when(F.col("label") == "NOT-NOM", "NOT-NOM").otherwise(F.col("_verb")))
+    minus = F.lit(-1)
+    return args.unionByName(nouns.select("sentence", F.col("i").alias("predicate_idx"), F.col("lemma").alias("predicate_lemma"), F.lit(False).alias("is_verb"), F.col("_v").alias("verb"), minus.alias("arg_head_idx"), minus.alias("arg_start_idx"), minus.alias("arg_end_idx"), F.lit("").alias("arg"), "label", F.lit("NOUNS").alias("tagset_type")))
+
+
 def split_by_task(rows: DataFrame, task: str = "tagset_type") -> tuple[DataFrame, DataFrame]:
     """The rows of the arguments' task (ARGS) and those of any other; rows without a task are in neither."""
     return rows.filter(F.col(task) == "ARGS"), rows.filter(F.col(task) != "ARGS")

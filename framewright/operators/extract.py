@@ -256,8 +256,8 @@ def spans(found: DataFrame, trim: bool = True, trim_all: bool = False) -> DataFr
     return found.withColumn("args", flat)
 
 
-def extract(tokens_as_trees: DataFrame, lex: DataFrame, null_choice: bool = False, max_candidates: int | None = None, min_arguments: int = 0, limited_verbs: list[str] | None = None, condition=None) -> DataFrame:
-    """The whole extraction: doc_id, sent_id, pred_i, is_verb, verb, subcat, toks, xs and args with spans."""
+def extract(tokens_as_trees: DataFrame, lex: DataFrame, null_choice: bool = False, max_candidates: int | None = None, min_arguments: int = 0, limited_verbs: list[str] | None = None, condition=None, trim: bool = True) -> DataFrame:
+    """The whole extraction: doc_id, sent_id, pred_i, is_verb, verb, subcat, toks, xs and args with spans (without `trim` with their prepositions)."""
     lex = lex if limited_verbs is None else lex.filter(F.col("verb").isin(limited_verbs))
     found = chosen(structures(matches(predicates(tokens_as_trees, lex, condition), max_candidates), null_choice))
-    return spans(found.filter(F.size("xs") >= min_arguments))
+    return spans(found.filter(F.size("xs") >= min_arguments), trim)

@@ -124,7 +124,16 @@ sided AS (SELECT *, side AS kind, CASE WHEN side = 'verb' THEN verb ELSE nom END
 keyed AS (SELECT *, orth || CASE WHEN sense = 1 THEN '' ELSE '#' || sense END AS entry_key FROM sided)
 """
     number = "CASE WHEN sense = 1 THEN '' ELSE '#' || sense END"
+    first5 = "array_to_string(list_sort(list(DISTINCT orth))[1:5], ',') AS examples"
     return {
+        "lexicon_values": base
+        + f""", kinds AS (SELECT orth, 'positions' AS property, unnest(string_split(positions, ',')) AS "value" FROM keyed UNION ALL SELECT orth, 'prefixes', unnest(string_split(prefixes, ',')) FROM keyed
+            UNION ALL SELECT orth, 'illegal_prefixes', unnest(string_split(illegal_prefixes, ',')) FROM keyed UNION ALL SELECT orth, 'constraints', unnest(string_split(marks, ',')) FROM keyed UNION ALL SELECT orth, 'root_upostags', unnest(string_split(root_upostags, ',')) FROM keyed)
+            SELECT property, "value", count(DISTINCT orth) AS n, {first5} FROM kinds WHERE "value" <> '' GROUP BY property, "value\"""",
+        "lexicon_collisions": base
+        + f""", core AS (SELECT *, list_filter(list_concat(string_split(positions, ','), string_split(prefixes, ',')), lambda x: x NOT IN ('', 'PREFIX')) AS ps FROM keyed WHERE "type" IN ('SUBJECT', 'OBJECT', 'IND-OBJ', 'PP', 'PP1', 'PP2'))
+            SELECT a."type" AS one, b."type" AS other, count(DISTINCT a.orth) AS n, array_to_string(list_sort(list(DISTINCT a.orth))[1:5], ',') AS examples
+            FROM core a JOIN core b ON a.entry_key = b.entry_key AND a.kind = b.kind AND a.subcat = b.subcat AND a."type" < b."type" AND list_has_any(a.ps, b.ps) GROUP BY a."type", b."type\"""",
         "lexicon_arguments": base + 'SELECT entry_key, kind, nom_type, subcat, required, optional, constraints, clauses, "type", positions, prefixes, illegal_prefixes, root_upostags, root_urelations, root_patterns, marks FROM keyed',
         "lexicon_links": base + f"SELECT DISTINCT entry_key, kind, orth, verb || {number} AS verb_key, nom || {number} AS nom_key, CASE WHEN form <> 4 THEN nom || 's' || {number} END AS plural_key FROM keyed",
         "lexicon_splits": base

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from framewright import scratch
 from framewright.functions.columns import first
-from framewright.operators import datasets, extract, frames, lookups, present, search, text, trees, verbnouns
+from framewright.operators import build, datasets, extract, frames, languages, lookups, ordered, postings, present, select, summary, text, trees, verbnouns
 from framewright.plans import lexicon_queries
 
 
@@ -126,13 +127,59 @@ def noun_samples(spark, sf_dir):
 
 
 def search_by_example(spark, sf_dir):
-    """Sentences in which a verb that occurs twice or more has the asked arguments: its subject as `who`, its object as `what`."""
+    """Sentences like the bracketed examples `[who tim] [# noun] of [what apple] here`, one for each verb that occurs twice or more.
+
+    The examples are marked up, annotated and extracted from; what they ask for is looked up in a written index of lemmas, and only
+    sentences that it names are parsed.
+    """
     asked = verb_noun_map(spark, sf_dir).filter("n > 1")
-    searched = asked.select("verb", F.explode(F.array(F.struct(F.lit("SUBJECT").alias("type"), F.lit("who").alias("label")), F.struct(F.lit("OBJECT").alias("type"), F.lit("what").alias("label")))).alias("x")).select("verb", "x.*")
-    hits = search.search(_structures(spark, sf_dir), searched)
+    raw = F.concat(F.lit("[who tim] [# "), "nom", F.lit("] of [what apple] here"))
+    examples = asked.select(F.xxhash64("verb").alias("doc_id"), F.lit(0).alias("sent_id"), raw.alias("raw"))
+    tokens = _annotated(spark, sf_dir)
+    lexicon = scratch.written(frames.nominal_lexicon(frames.predicates(tokens)), "lexicon")
+    from_tokens = lambda ts: extract.extract(trees.trees(frames.parsed(ts)), lexicon, null_choice=True)
+    wanted = postings.searched(examples, lambda texts: from_tokens(frames.annotated(text.tokens(texts))))
+    nouns = frames.predicates(tokens).select("verb", F.col("nom").alias("noun")).distinct()
+    extracted = lambda hits: from_tokens(tokens.join(hits, ["doc_id", "sent_id"], "left_semi"))
+    hits = postings.search_from(wanted, nouns, postings.written(tokens), extracted)
     return hits.select("doc_id", "sent_id", "pred_i", "verb", F.col("found")["who"].alias("who"), F.col("found")["what"].alias("what"))
 
 
+def informative_frames(spark, sf_dir):
+    """The older choice among extractions, where a `by` phrase can be the subject or an AS phrase, of which the latter is preferred; two can beat each other."""
+    tokens = _annotated(spark, sf_dir)
+    lex = frames.nominal_lexicon(frames.predicates(tokens))
+    phrase = F.get(F.filter("args", lambda a: a["type"] == "SUBJECT"), F.lit(0)).withField("type", F.lit("AS-NP-SC")).withField("positions", F.array(F.lit("PREFIX")))
+    found = extract.structures(extract.matches(extract.predicates(trees.trees(frames.parsed(tokens)), lex.withColumn("args", F.array_append("args", phrase)))), null_choice=True)
+    kept = select.choose_informative(extract.spans(found))
+    of = lambda t: first(F.filter("xs", lambda x: x["type"] == t))["head_i"]
+    return kept.select("doc_id", "sent_id", "pred_i", of("SUBJECT").alias("subj_i"), of("OBJECT").alias("obj_i"), of("AS-NP-SC").alias("as_i"))
+
+
+def _matches(spark, sf_dir):
+    """Sentences with a nominalization, as the matches of a search: words with a numbered marker and a final point around them."""
+    preds = nominal_predicates(spark, sf_dir).select("doc_id", "sent_id").distinct()
+    return clean_sentences(spark, sf_dir).join(preds, ["doc_id", "sent_id"], "left_semi")
+
+
+def match_offsets(spark, sf_dir):
+    """Matched sentences in order: their number and the number of words before them, where each has a marker and a point more."""
+    got = ordered.running(_matches(spark, sf_dir), ["doc_id", "sent_id"], F.size(F.split("sentence", " ")) + 2)
+    return got.select("doc_id", "sent_id", F.col("index").alias("sentence_id"), F.col("before").alias("first_word"), F.concat((F.col("index") + 1).cast("string"), F.lit(")")).alias("marker"))
+
+
+def rank_parts(spark, sf_dir):
+    """English sentences dealt to seven ranks, contiguous and of one size; some come twice for that."""
+    return ordered.ranks(clean_sentences(spark, sf_dir).select("doc_id", "sent_id"), ["doc_id", "sent_id"], 7).select("doc_id", "sent_id", "rank", "place")
+
+
+def dataset_cut(spark, sf_dir):
+    """Sentences of the corpus until their words are more than half of all words (a size that grows with the corpus)."""
+    sents = clean_sentences(spark, sf_dir).select("doc_id", "sent_id", F.size(F.split("sentence", " ")).cast("long").alias("n"))
+    limit = sents.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // 2
+    return ordered.until_full(sents, ["doc_id", "sent_id"], "n", limit)
+
+
 def word_offsets(spark, sf_dir):
     """Words of the document before each sentence, with one marker a sentence."""
     return present.word_offsets(clean_sentences(spark, sf_dir), extra=1).select("doc_id", "sent_id", "first_word")
@@ -173,12 +220,41 @@ def lexicon_defaults(spark, sf_dir):
     return lexicon_queries.defaults(_lexicon(spark, sf_dir))
 
 
+def combined_samples(spark, sf_dir):
+    """Training rows where nominalizations take an object alone: their objects, `by` phrases as NONE, and nouns; those that occur once are uncertain."""
+    tokens = _annotated(spark, sf_dir)
+    preds = frames.predicates(tokens)
+    noms = preds.groupBy(F.col("nom").alias("noun"), "verb").agg(F.count(F.lit(1)).alias("n"))
+    certain = noms.filter("n > 1").select("noun")
+    only = frames.nominal_lexicon(preds).withColumn("args", F.filter("args", lambda a: a["type"] == "OBJECT"))
+    parsed = frames.parsed(tokens)
+    found = extract.extract(trees.trees(parsed), only, null_choice=True, trim=False)
+    return datasets.combined_samples(found, certain, ["of", "by"], parsed, certain.withColumn("type", F.lit("VERB-NOM")), noms)
+
+
+def lexicon_values(spark, sf_dir):
+    got = summary.values(build.compiled(_lexicon(spark, sf_dir)))
+    return got.select("property", "value", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def lexicon_collisions(spark, sf_dir):
+    got = summary.collisions(build.compiled(_lexicon(spark, sf_dir)))
+    return got.select("one", "other", "n", F.array_join("examples", ",").alias("examples"))
+
+
+def detected_languages(spark, sf_dir):
+    """Each document's language by the profiles of those whose crc32 leaves a remainder other than 0 by 5, beside the given one."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "text")
+    learnt = languages.profiles(docs.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0))
+    return languages.detected(docs, learnt).select("doc_id", "lang", "detected")
+
+
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_frames(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, subtree_spans, extraction_strings, possible_types, noun_samples, search_by_example, word_offsets, golden_diff, all_forms, balanced_sample, lexicon_arguments, lexicon_links, lexicon_splits, lexicon_defaults)}
+    return {f.__name__: f for f in (clean_sentences, ascii_filter, tokenize_hyphen, nominal_predicates, verb_noun_map, candidates, frame_product, extract_frames, unused_candidates, label_counts, label_ids, f1_report, extract_structures, mention_ids, informative_event, iob_tags, iobes_tags, arg_samples, subtree_spans, extraction_strings, possible_types, noun_samples, search_by_example, word_offsets, golden_diff, all_forms, balanced_sample, lexicon_arguments, lexicon_links, lexicon_splits, lexicon_defaults, informative_frames, match_offsets, rank_parts, dataset_cut, combined_samples, lexicon_values, lexicon_collisions, detected_languages)}
 
 
 _words = lambda x: "(" + ", ".join(f"'{w}'" for w in x) + ")"
@@ -264,6 +340,39 @@ def oracle_sql() -> dict[str, str]:
         "search_by_example": _SPANS
         + """, asked AS (SELECT verb FROM (SELECT verb, count(*) AS k FROM pred GROUP BY verb) WHERE k > 1)
             SELECT DISTINCT doc_id, sent_id, pred_i, verb, who, what FROM (SELECT doc_id, sent_id, pred_i, regexp_replace(nom, 'ion$', 'e') AS verb, si, oi, max(text) FILTER (name = 'SUBJECT') AS who, max(text) FILTER (name = 'OBJECT') AS what FROM spanned GROUP BY ALL) JOIN asked USING (verb)""",
+        "informative_frames": _TREE.rstrip()
+        + """, a2 AS (SELECT * FROM cand2 WHERE position = 'by'), prd AS (SELECT DISTINCT doc_id, sent_id, pred_i FROM cand2),
+            s3 AS (SELECT doc_id, sent_id, pred_i, arg_i, position FROM s2 UNION ALL SELECT *, NULL, NULL FROM prd), o3 AS (SELECT doc_id, sent_id, pred_i, arg_i, position FROM o2 UNION ALL SELECT *, NULL, NULL FROM prd),
+            a3 AS (SELECT doc_id, sent_id, pred_i, arg_i, position FROM a2 UNION ALL SELECT *, NULL, NULL FROM prd),
+            prod3 AS (SELECT s.doc_id, s.sent_id, s.pred_i, s.arg_i AS si, o.arg_i AS oi, a.arg_i AS ai, s.position AS sp, (s.arg_i IS NOT NULL)::INT + (o.arg_i IS NOT NULL)::INT + (a.arg_i IS NOT NULL)::INT AS n
+              FROM s3 s JOIN o3 o USING (doc_id, sent_id, pred_i) JOIN a3 a USING (doc_id, sent_id, pred_i)
+              WHERE s.arg_i IS DISTINCT FROM o.arg_i AND (s.arg_i IS DISTINCT FROM a.arg_i OR s.arg_i IS NULL) AND (o.arg_i IS DISTINCT FROM a.arg_i OR o.arg_i IS NULL)
+              AND NOT (coalesce(s.position IN ('DET-POSS', 'N-N-MOD') AND o.position IN ('DET-POSS', 'N-N-MOD') AND s.arg_i > o.arg_i, false)) OR s.arg_i IS NULL AND o.arg_i IS NULL AND a.arg_i IS NOT NULL AND s.doc_id = a.doc_id),
+            best3 AS (SELECT * FROM prod3 WHERE n > 0 QUALIFY rank() OVER (PARTITION BY doc_id, sent_id, pred_i ORDER BY n DESC) = 1),
+            heads3 AS (SELECT *, list_sort(list_filter([si, oi, ai], lambda x: x IS NOT NULL)) AS hs FROM best3)
+            SELECT doc_id, sent_id, pred_i, si AS subj_i, oi AS obj_i, ai AS as_i FROM heads3 h WHERE NOT EXISTS (SELECT 1 FROM heads3 g WHERE g.doc_id = h.doc_id AND g.sent_id = h.sent_id AND g.pred_i = h.pred_i AND g.hs = h.hs AND h.sp = 'by' AND g.ai = h.si)""",
+        "combined_samples": _SPANS.rstrip()
+        + """, noms AS (SELECT nom, min(verb) AS verb, count(*) AS k FROM pred GROUP BY nom), sure AS (SELECT p.doc_id, p.sent_id, p.i AS pred_i, p.nom, p.verb FROM pred p JOIN noms USING (nom) WHERE k > 1),
+            ob AS (SELECT o.doc_id, o.sent_id, o.pred_i, o.arg_i, t.lo AS s, t.hi + 1 AS e FROM o2 o JOIN sub t ON t.doc_id = o.doc_id AND t.sent_id = o.sent_id AND t.i = o.arg_i),
+            one_ob AS (SELECT * FROM ob WINDOW w AS (PARTITION BY doc_id, sent_id, pred_i) QUALIFY min(s) OVER w = max(s) OVER w AND min(e) OVER w = max(e) OVER w),
+            non AS (SELECT c.doc_id, c.sent_id, c.pred_i, c.arg_i, t.lo AS s, t.hi + 1 AS e FROM cand2 c JOIN sub t ON t.doc_id = c.doc_id AND t.sent_id = c.sent_id AND t.i = c.arg_i
+              WHERE c.position = 'by' AND EXISTS (SELECT 1 FROM ob WHERE ob.doc_id = c.doc_id AND ob.sent_id = c.sent_id AND ob.pred_i = c.pred_i)),
+            rows2 AS (SELECT *, 'OBJECT' AS label FROM one_ob UNION ALL SELECT *, 'NONE' FROM non)
+            SELECT lower(array_to_string(l.ws, ' ')) AS sentence, pred_i AS predicate_idx, nom AS predicate_lemma, false AS is_verb, verb, arg_i AS arg_head_idx, s AS arg_start_idx, e AS arg_end_idx, lower(array_to_string(l.ws[s + 1:e], ' ')) AS arg, label, 'ARGS' AS tagset_type
+            FROM rows2 JOIN sure USING (doc_id, sent_id, pred_i) JOIN lists l USING (doc_id, sent_id)
+            UNION ALL SELECT lower(array_to_string(l.ws, ' ')), a.i, a.w, false, CASE WHEN n.k > 1 THEN n.verb ELSE 'NOT-NOM' END, -1, -1, -1, '', CASE WHEN n.k > 1 THEN 'VERB-NOM' ELSE 'NOT-NOM' END, 'NOUNS'
+            FROM ann a LEFT JOIN noms n ON n.nom = a.w JOIN lists l ON l.doc_id = a.doc_id AND l.sent_id = a.sent_id
+            WHERE a.pos = 'NOUN' AND NOT suffix(a.w, 's') AND regexp_matches(a.w, '^[a-z]+(-+[a-z]+)*$') AND (n.k IS NULL OR n.k > 1) AND EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = a.doc_id AND p.sent_id = a.sent_id)""",
+        "match_offsets": _WITH.rstrip()
+        + """, hit AS (SELECT * FROM gated g WHERE EXISTS (SELECT 1 FROM pred p WHERE p.doc_id = g.doc_id AND p.sent_id = g.sent_id))
+            SELECT doc_id, sent_id, row_number() OVER w - 1 AS sentence_id, CAST(coalesce(sum(len(string_split(sentence, ' ')) + 2) OVER (ORDER BY doc_id, sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word, row_number() OVER w || ')' AS marker FROM hit WINDOW w AS (ORDER BY doc_id, sent_id)""",
+        "rank_parts": _WITH.rstrip()
+        + """, numbered AS (SELECT doc_id, sent_id, row_number() OVER (ORDER BY doc_id, sent_id) - 1 AS k, count(*) OVER () AS n FROM gated), size AS (SELECT max(n) AS n, CAST(ceil(max(n) / 7) AS BIGINT) AS m FROM numbered),
+            every AS (SELECT doc_id, sent_id, k AS place FROM numbered UNION ALL SELECT doc_id, sent_id, size.n + k - size.n % 2 FROM numbered, size WHERE k >= size.n % 2 AND k < size.n % 2 + 7 * m - size.n)
+            SELECT doc_id, sent_id, CAST(place // m AS INT) AS rank, place FROM every, size""",
+        "dataset_cut": _WITH.rstrip()
+        + """, sized AS (SELECT doc_id, sent_id, CAST(len(string_split(sentence, ' ')) AS BIGINT) AS n FROM gated), summed AS (SELECT *, coalesce(sum(n) OVER (ORDER BY doc_id, sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER () AS total FROM sized)
+            SELECT doc_id, sent_id, n FROM summed WHERE before <= CAST(total AS BIGINT) // 2""",
         "word_offsets": _WITH + "SELECT doc_id, sent_id, CAST(coalesce(sum(len(string_split(sentence, ' ')) + 1) OVER (PARTITION BY doc_id ORDER BY sent_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS first_word FROM gated",
         "clean_sentences": _WITH + "SELECT * FROM gated",
         "ascii_filter": r"SELECT lang, count(*) FILTER (regexp_full_match(text, '[\x00-\x7F]*')) AS n_ascii, count(text) AS n_texts FROM documents GROUP BY lang",
