@@ -1,8 +1,8 @@
 """Benchmark decontamination, in DataFrame functions only.
 
-Each benchmark item becomes its normalised word windows. Windows of the training documents are hashed, probed against
-the items' windows (broadcast when their number is under a checked bound, else joined by a shuffle) and each hit is verified
-word by word.
+Each benchmark item becomes its normalised word windows. Windows of all lengths of the training documents are hashed in one scan
+and probed against a broadcast hash set of the items' windows; each hit is verified word by word. A set of more bytes than the
+bound is cut into slices by hash, each of which is broadcast to a scan of its own: of the documents only hits are ever shuffled.
 """
 
 from __future__ import annotations
@@ -16,8 +16,8 @@ from framewright.llm.native import ascii_lower, let, split_words, unused, window
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
-#: Up to so many windows of items (about 150 bytes each) are broadcast.
-BROADCAST_WINDOWS = 200_000
+#: Bytes of a slice of the hash set that is broadcast, and those that a window takes besides its text.
+BROADCAST_BYTES, A_WINDOW = 32 << 20, 100
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -30,29 +30,34 @@ def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
     return grouped.agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("item_ids"))
 
 
+def slices(found: DataFrame) -> list[DataFrame]:
+    """k, h and window of the items' windows, in parts by hash of about BROADCAST_BYTES at most; a part is looked at by its real size too."""
+    size = F.sum(F.octet_length("window") + A_WINDOW)
+    n = -(-(found.agg(size.alias("s")).first().s or 0) // BROADCAST_BYTES)
+    while True:
+        part = F.pmod(F.xxhash64("h", "k"), F.lit(max(1, n)))
+        largest = found.groupBy(part.alias("p")).agg(size.alias("s")).agg(F.max("s").alias("s")).first().s or 0
+        if n <= 1 or largest <= 2 * BROADCAST_BYTES:
+            return [found.filter(part == p).select("k", "h", "window") for p in range(n)]
+        n *= 2
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Verified hits by document: doc_id, row (hash of the text), covered (sorted word positions from 0), item_ids (sorted strings)."""
     found = scratch.written(item_windows(items, size), "benchmark-windows")
     sizes = [r.k for r in found.select("k").distinct().orderBy("k").collect()]
-    small = found.count() <= BROADCAST_WINDOWS
     words = docs.select("doc_id", F.xxhash64("text").alias("row"), split_words(F.col("text"), SEPARATORS).alias("words"))
-    spans = None
-    for k in sizes:
-        own = found.filter(F.col("k") == k).select("h", "window", "item_ids")
-        is_window = F.array_join(F.slice("words", F.col("at") + 1, k), " ") == F.col("window")
-        if small:
-            at = words.select("doc_id", "row", "words", F.posexplode(windows(F.col("words"), k)).alias("at", "h"))
-            hit = at.join(F.broadcast(own), "h").filter(is_window)
-        else:
-            # Only hashes are shuffled; the words of documents with a hit come back by document.
-            at = words.select("doc_id", "row", F.posexplode(windows(F.col("words"), k)).alias("at", "h"))
-            met = at.join(own, "h").select(F.col("doc_id").alias("id"), F.col("row").alias("id_row"), "at", "window", "item_ids").distinct()
-            whole = words.dropDuplicates(["doc_id", "row"])
-            hit = met.join(whole, whole.doc_id.eqNullSafe(met.id) & (whole.row == met.id_row)).filter(is_window)
-        hit = hit.select("doc_id", "row", F.sequence("at", F.col("at") + (k - 1)).alias("covered"), "item_ids")
-        spans = hit if spans is None else spans.unionByName(hit)
-    if spans is None:
+    of = lambda k: F.transform(windows(F.col("words"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("at"), h.alias("h")))
+    each = words.select("doc_id", "row", "words", F.explode(F.concat(*map(of, sizes))).alias("x")).select("doc_id", "row", "words", "x.*") if sizes else None
+    met = None
+    for own in slices(found):
+        is_window = F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ") == F.col("window")
+        hit = each.join(F.broadcast(own), ["k", "h"]).filter(is_window).select("doc_id", "row", "k", "at", "h", "window")
+        met = hit if met is None else met.unionByName(hit)
+    if met is None:
         return docs.sparkSession.createDataFrame([], "doc_id long, row long, covered array<int>, item_ids array<string>")
+    # Only now the items, of which a window can have any number.
+    spans = met.join(found, ["k", "h", "window"]).select("doc_id", "row", F.sequence("at", F.col("at") + F.col("k") - 1).alias("covered"), "item_ids")
     flat = lambda c: F.sort_array(F.array_distinct(F.flatten(F.collect_set(c))))
     return spans.groupBy("doc_id", "row").agg(flat("covered").alias("covered"), flat("item_ids").alias("item_ids"))
 

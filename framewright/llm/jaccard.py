@@ -109,8 +109,8 @@ def classes(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) ->
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) for each row of `docs` (doc_id, text).
 
     Null and empty texts and texts without words have no shingles and are their own component. Equal texts link. Repeated rows
-    get a row each; rows of one doc_id with different texts are one node of the graph, linked by either. A null doc_id gets
-    its row with a null component and links nothing. An empty table gives an empty result. Other columns are ignored.
+    get a row each; rows of one doc_id with different texts are one node of the graph, linked by either. A row with a
+    null doc_id makes no node: it has the component of a document with its text, or a null one, and links nothing. An empty table gives an empty result. Other columns are ignored.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))

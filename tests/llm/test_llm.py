@@ -115,6 +115,96 @@ def test_byte_bpe(docs, none, rows):
     assert bpe.round_trip(none, path, public_tokenizers.PATTERN).count() == 0
 
 
+def test_label_model_and_classifier():
+    """Voters of known accuracy: posteriors near the true ones, weights at the least of the penalised loss; copies of a voter share its weight."""
+    r = np.random.default_rng(2)
+    y = r.random(60_000) < 0.1
+    votes = np.zeros((len(y), toxicity.LEXICONS + 3), np.int64)
+    for v in range(3):
+        votes[:, v] = np.where(y, r.random(len(y)) < 0.7, r.random(len(y)) < 0.03)
+    votes[:, 3] = votes[:, 0]
+    label = np.where(r.random(len(y)) < 0.3, y.astype(int), -1)
+    packed = (votes[:, : toxicity.LEXICONS] << np.arange(0, 2 * toxicity.LEXICONS, 2)).sum(1)
+    kinds, count = np.unique(np.stack([packed, label], 1), axis=0, return_counts=True)
+    model = toxicity.label_model(toxicity.unpacked(kinds[:, 0]), count.astype(float), kinds[:, 1])
+    of = {tuple(k): q for k, q in zip(kinds, model["posterior"])}
+    for pattern in range(8):
+        bits = [pattern >> i & 1 for i in range(3)]
+        odds = 0.1 / 0.9 * np.prod([0.7 / 0.03 if b else 0.3 / 0.97 for b in bits])
+        true, found = odds / (1 + odds), of.get((sum(b << 2 * i for i, b in enumerate([*bits, bits[0]])), -1))
+        assert found is None or (found > 0.5) == (true > 0.5) or abs(true - 0.5) < 0.2, (bits, true, found)
+    # The copied voter and its copy have about half a weight each, the others a whole one.
+    assert max(model["weight"][0], model["weight"][3]) < 0.62 < 0.85 < min(model["weight"][1], model["weight"][2])
+    x, q, w = r.random((500, 4)), r.random(500), r.random(500) * 5
+    b = toxicity.fit_linear(x, q, w, ridge=0.7)
+    full = np.hstack([x, np.ones((500, 1))])
+    assert np.abs(full.T @ (w * (q - 1 / (1 + np.exp(-full @ b)))) - 0.7 * b).max() < 1e-6
+
+
+def test_folds_never_see_held_out_rows(spark):
+    r = random.Random(9)
+    rows = [(i, " ".join([*(r.choice(["one", "two", "three", "four"]) for _ in range(12)), *(["vile", "rotten"] if i % 6 == 0 else [])])) for i in range(400)]
+    labels = [(i, int(i % 6 == 0)) for i in range(400)]
+    out = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    settings = [{"absent": 0.5}, {"absent": 1.0, "label_rates": (0.9, 0.05)}]
+    kind = "doc_id long, text string"
+    every = toxicity.fold_errors(spark.createDataFrame(rows, kind), spark.createDataFrame(labels, "doc_id long, toxic int"), settings)
+    wrong = [(i, "vile rotten" if out(i) else t) for i, t in rows], [(i, 1 - y if out(i) else y) for i, y in labels]
+    assert toxicity.fold_errors(spark.createDataFrame(wrong[0], kind), spark.createDataFrame(wrong[1], "doc_id long, toxic int"), settings) == every
+    assert every[0][:2] == (0, 0)
+
+
+def test_toxicity_on_odd_tables(spark):
+    kind, named = "doc_id long, text string, votes long, held_out int", "doc_id long, toxic int, votes int"
+    rows = [(1, "a b", 1, 1), (1, "a b", 1, 1), (None, "c", 1, 1), (2, None, None, None)]
+    for labels in ([], [(1, 1, 1), (1, 0, 1), (None, 1, None), (2, None, None)]):
+        got = toxicity.scored(spark.createDataFrame(rows, kind), spark.createDataFrame(labels, named))
+        assert sorted(map(str, (x.doc_id for x in got.collect()))) == ["1", "1", "2", "None"] and len({x.score for x in got.filter("doc_id = 1").collect()}) == 1
+        assert toxicity.scored(spark.createDataFrame([], kind), spark.createDataFrame(labels, named)).count() == 0
+
+
+def test_runs_of_equal_groups_are_as_the_heap_deals_them():
+    """The closed form against a plain heap: ties, levels that are not reached, long runs."""
+    import heapq
+
+    r = random.Random(8)
+    for _ in range(400):
+        loads = [r.randint(0, r.choice([0, 5, 300])) for _ in range(r.randint(1, 9))]
+        size, count = r.randint(1, 40), r.choice([0, 1, 7, 8 * len(loads), 8 * len(loads) + 1, 1000])
+        heap = [(load, i) for i, load in enumerate(loads)]
+        heapq.heapify(heap)
+        want = [0] * len(loads)
+        for _ in range(count):
+            load, i = heap[0]
+            heapq.heapreplace(heap, (load + size, i))
+            want[i] += 1
+        mine = list(loads)
+        assert sharding.spread_run(mine, size, count) == want and mine == [a + size * n for a, n in zip(loads, want)]
+
+
+def test_shards_are_those_of_one_heap_over_all_groups(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "GROUPS_A_RUN", 50)
+    r = random.Random(1)
+    rows = [(i, "".join(r.choice("ab") for _ in range(r.choice([2, 7, 8, 9, 60])))) for i in range(900)]
+    got = sharding.shard_by_size(spark.createDataFrame(rows, "doc_id long, text string"), 7).collect()
+    groups = {}
+    for _, t in rows:
+        groups[t] = groups.get(t, 0) + len(t) + 1
+    loads = [0] * 7
+    for size in sorted(groups.values(), reverse=True):
+        at = loads.index(min(loads))
+        loads[at] += size
+    mine = [sum(x["size"] for x in got if x.shard == s) for s in range(7)]
+    assert mine == loads
+
+
+def test_null_ids_take_the_component_of_their_text(spark):
+    t = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, t), (None, t), (None, t + " x"), (None, "quite another text of words"), (None, None)]
+    got = sorted((x.doc_id or 0, x.n_shingles, x.component_id or 0) for x in jaccard.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(0, 0, 0), (0, 2, 0), (0, 27, 1), (0, 28, 0), (1, 27, 1)]
+
+
 def test_toxicity(spark):
     r = random.Random(3)
     bad, rest = ["vile", "rotten", "nasty"], ["one", "two", "three", "four", "five"]

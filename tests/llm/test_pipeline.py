@@ -94,16 +94,17 @@ def test_pipeline(spark):
         assert got[i].n_tokens == len(library.encode_ordinary(t or ""))
 
 
-@pytest.mark.parametrize("most", [200_000, 0])
+@pytest.mark.parametrize("most", [32 << 20, 600])
 def test_decontamination(spark, monkeypatch, most):
-    """Nulls, short items, overlapping windows, repeated rows, clashing names, by broadcast and by shuffle."""
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    """Nulls, short items, overlapping windows, repeated rows, clashing names, with one slice of the hash set and with several."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", most)
     long = " ".join(f"w{i}" for i in range(14))
     items = [(1, long), (2, "Short one"), (3, None), (4, "..."), (5, " ".join(f"W{i}," for i in range(5, 20)))]
     texts = ["x " + long + " y w14 w15", None, "", "a short ONE! short one", long.replace(" ", "--"), "short", "nothing here " * 20, "w0 w1 w2 w3 w4 w5 w6 w7 w8 w9"]
     rows = [(i, t, 1, "k", "h") for i, t in enumerate(texts)] + [(3, texts[3], 1, "k", "h"), (3, "other", 1, "k", "h"), (None, texts[3], 1, "k", "h")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, hit_id long, row string, words string")
     bench = spark.createDataFrame(items, "item_id long, text string")
+    assert (len(decontaminate.slices(decontaminate.item_windows(bench))) > 2) == (most == 600)
     got = sorted((str(r.doc_id), r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) for r in decontaminate.report(docs, bench).collect())
     want = []
     for i, t, *_ in rows:
@@ -138,3 +139,51 @@ def test_scratch_tables_go(spark, tmp_path):
     import os
 
     assert [name for name, path in made if os.path.exists(path)] == ["repeat-spans"]
+
+
+def test_no_exchange_holds_the_words_of_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", 2000)
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    plan = decontaminate.hits(docs, items)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("strategy=broadcast") > 1
+    physical = decontaminate.hits(docs, items)._jdf.queryExecution().executedPlan().toString()
+    for line in physical.splitlines():  # what is hashed by window or document comes behind the broadcast join
+        assert "Exchange hashpartitioning" not in line or "words" not in line
+    above = physical[: physical.index("BroadcastHashJoin")]
+    assert "Exchange" in above and "Exchange hashpartitioning" not in physical[physical.index("BroadcastHashJoin") :].split("BroadcastExchange")[0]
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, hit_id string, row string, words string, key string, own_id int, bucket int, spans string"
+
+
+def test_stages_on_odd_tables(spark, tmp_path):
+    """Nulls in every column, empty and repeated texts, one id on several rows, names that operators use themselves, and empty tables."""
+    long = " ".join(f"word{i}" for i in range(120))
+    window = " ".join(f"w{i}" for i in range(12))
+    texts = [None, "", " \n", "a", long, long, long + " tail", "x " + window + " y", "é" * 900, "z" * 5000]
+    more = ("h", "r", "w", "k", 1, 2, "s")
+    rows = [(i, t, "en", "web", len(t or ""), *more) for i, t in enumerate(texts)] + [(4, long, "en", "web", 1, *more), (None, long, None, None, None, *[None] * 7), (None, None, None, None, None, *[None] * 7), (3, "b", None, "web", 1, *more)]
+    odd = spark.createDataFrame(rows, COLUMNS)
+    tables = {
+        "full": (spark.createDataFrame([(4, 1, 0), (None, 1, 1), (7, None, None), (7, 0, 0)], "doc_id long, quality int, toxic int"), spark.createDataFrame([("i1", window), (None, None), ("i2", "")], "item_id string, text string")),
+        "none": (spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id string, text string")),
+    }
+    for name, (labels, items) in tables.items():
+        labels.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        items.write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+        for docs in (odd, odd.limit(0)):
+            for stage, f in corpus_pipeline.STAGES[:-1]:
+                got = f(spark, docs, f"{tmp_path}/{name}")
+                assert got.columns == odd.columns, stage
+                docs = scratch.written(got, f"odd-{stage}")
+            left = {(r.doc_id, r.text) for r in docs.collect()}
+            encoded = corpus_pipeline.STAGES[-1][1](spark, docs, f"{tmp_path}/{name}").collect()
+            assert len(encoded) == docs.count() and {r.doc_id for r in encoded} == {i for i, _ in left}
+            if docs is not None and left:
+                kept = dict(left)
+                # One row of the class of `long` stays; what it says is not repeated anywhere else then.
+                assert kept[4] == long and 5 not in kept and 6 not in kept and kept[0] is None and kept[8] is not None
+                assert kept[7] == ("x y" if name == "full" else "x " + window + " y")
+                assert kept[9] == ""
+
+
