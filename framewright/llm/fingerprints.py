@@ -66,10 +66,10 @@ def fingerprint_pairs(docs: DataFrame, k: int = K) -> DataFrame:
 
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next. The next document
     is that with the next lower doc_id, after the last the first: rows fall into ordered buckets, and each bucket's head
-    is handed to the bucket above it, so that no task orders all rows.
+    is handed to the bucket above it, so that no task orders all rows; one task orders the buckets, native.MOST_BUCKETS at most.
 
-    Null is the empty text; two empty texts have likeness 1. Rows with one doc_id are ordered by their texts; repeated rows
-    are each other's next. A table of one row is its own next, an empty one gives an empty result. Other columns are
+    Null is the empty text; two empty texts have likeness 1. Rows with one doc_id are ordered by their texts, if they are
+    so many that they fill several buckets first by hash of the text; repeated rows are each other's next. Ids are whole numbers. A table of one row is its own next, an empty one gives an empty result. Other columns are
     ignored, whatever their names.
     """
     docs = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))

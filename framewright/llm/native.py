@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Quantiles that guide ordered buckets.
-CUTS = 64
+from framewright import scratch
+from framewright.operators.ordered import running
+
+#: Bytes of text that weigh as much as a row; buckets at most; edges of buckets looked through in one step.
+A_ROW, MOST_BUCKETS, STEP = 1 << 14, 1 << 17, 512
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -45,14 +49,36 @@ def windows(words: Column, k: int) -> Column:
 
 
 def ordered_buckets(docs: DataFrame, bucket_rows: int) -> Column:
-    """A bucket number that ascends with doc_id, about `bucket_rows` rows each: quantiles of doc_id, cut into equal widths between them."""
-    n, cuts = docs.agg(F.count("doc_id"), F.percentile_approx("doc_id", [i / CUTS for i in range(CUTS + 1)], 10_000)).first()
-    if not n:
+    """A bucket number that ascends with doc_id (whole numbers), of about `bucket_rows` rows each, however the ids lie; -1 for null.
+
+    A row counts as one for each A_ROW bytes of its text. Ids are counted exactly, and in order by ranges; the ids at which buckets
+    begin, MOST_BUCKETS at most, come to the driver. The rows of an id that fills several buckets are dealt to these by hash of the
+    text, so that their order among themselves is no longer by text.
+    """
+    weight = F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / A_ROW)).cast("long")
+    ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(weight).alias("n"))
+    counted = scratch.written(running(ids, ["doc_id"], F.col("n")), "ordered-ids")
+    total = counted.agg(F.max(F.col("before") + F.col("n")).alias("n")).first().n
+    if not total:
         return F.lit(-1).cast("long")
-    cuts = [int(c) for c in cuts]
-    edges = sorted({min(cuts), *cuts, max(cuts) + 1})
-    inside = max(1, round(n / bucket_rows / (len(edges) - 1)))
-    at = F.greatest(F.lit(1), F.least(F.lit(len(edges) - 1), F.size(F.filter(F.lit(edges), lambda e: e <= F.col("doc_id")))))
-    low, high = F.element_at(F.lit(edges), at), F.element_at(F.lit(edges), at + 1)
-    part = F.floor((F.col("doc_id") - low).cast("double") / (high - low) * inside)
-    return F.coalesce((at * inside + F.greatest(F.lit(0), F.least(F.lit(inside - 1), part))).cast("long"), F.lit(-1))
+    size = max(bucket_rows, -(-total // MOST_BUCKETS))
+    # A bucket begins at each multiple of its size: the ids in which one lies, and how many lie in each.
+    first, last = F.ceil(F.col("before") / size), F.ceil((F.col("before") + F.col("n")) / size)
+    edges = counted.select("doc_id", (last - F.greatest(first, F.lit(1))).alias("k")).filter("k > 0").orderBy("doc_id").collect()
+    scratch.discard(counted)
+    at, starts = 0, []
+    for e in edges:
+        starts.append((e.doc_id, at, at + e.k))
+        at += e.k
+    if not starts:
+        return F.when(F.col("doc_id").isNull(), -1).otherwise(0).cast("long")
+    groups = [starts[i : i + STEP] for i in range(0, len(starts), STEP)]
+    constant = lambda x, kind: F.from_json(F.lit(json.dumps(x)), f"array<{kind}>")
+    heads, table = constant([g[0][0] for g in groups], "bigint"), constant([[list(x) for x in g] for g in groups], "array<array<bigint>>")
+    doc_id = F.col("doc_id").cast("long")
+    # The last edge at or before the id, by two steps of at most STEP comparisons and as many groups.
+    group = F.size(F.filter(heads, lambda h: h <= doc_id))
+    own = lambda g: F.element_at(F.filter(g, lambda x: F.get(x, F.lit(0)) <= doc_id), -1)
+    spread = lambda x: F.when((F.get(x, F.lit(0)) == doc_id) & (F.get(x, F.lit(2)) - F.get(x, F.lit(1)) > 1), F.get(x, F.lit(1)) + 1 + F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.get(x, F.lit(2)) - F.get(x, F.lit(1)))).otherwise(F.get(x, F.lit(2)))
+    found = F.when(group == 0, F.lit(0)).otherwise(let(F.get(table, group - 1), lambda g: let(own(g), spread)))
+    return F.when(doc_id.isNull(), -1).otherwise(found).cast("long")

@@ -297,5 +297,6 @@ def round_trip(docs: DataFrame, path: str, end_id: int = 0) -> DataFrame:
 
     Null is the empty text, whose only id is the end id. Repeated rows keep a place each, rows of one doc_id stand side by
     side; those with a null doc_id stand before all others and come back with it. An empty table gives no file and no row. Other columns are ignored.
+    Ids are whole numbers.
     """
     return read_digests(*write_files(docs, path, end_id))

@@ -5,9 +5,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 import xxhash
 
-from framewright.llm import fingerprints
+from framewright.llm import fingerprints, native
 
 
 def sketch(text, k=fingerprints.K):
@@ -62,3 +63,29 @@ def test_empty_and_single(spark):
     assert fingerprints.fingerprint_pairs(spark.createDataFrame([], schema)).count() == 0
     one = fingerprints.fingerprint_pairs(spark.createDataFrame([(1, "a b c")], schema)).first()
     assert one.near_next == 1.0
+
+
+IDS = {"gap": "if(id < 4000, id, id + 1000000000000)", "clusters": "if(id % 2 = 0, id div 2, 9000000000000000000 - id)", "one": "7", "a third": "if(id % 3 = 0, -7, id)", "powers": "pow(1.004, id)"}
+
+
+@pytest.mark.parametrize("ids", IDS)
+def test_buckets_are_even_and_in_order(spark, ids):
+    """However ids lie, no bucket has many more rows than asked for, and a long text fills its bucket sooner."""
+    docs = spark.range(8000).select(F.expr(f"cast({IDS[ids]} as bigint)").alias("doc_id"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    found = docs.select("doc_id", native.ordered_buckets(docs, 100).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).orderBy("b").collect()
+    assert 60 <= len(found) <= 90 and max(r.n for r in found) <= 200 and all(a.high <= b.low for a, b in zip(found, found[1:]))
+
+
+def test_buckets_by_bytes_and_nulls(spark, monkeypatch):
+    monkeypatch.setattr(native, "A_ROW", 10)
+    docs = spark.range(1000).select(F.when(F.col("id") > 0, F.col("id")).alias("doc_id"), F.when(F.col("id") % 2 == 0, F.repeat(F.lit("x"), 1000)).alias("text"))
+    found = docs.select("doc_id", native.ordered_buckets(docs, 500).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n")).collect()
+    assert {r.n for r in found if r.b == -1} == {1} and max(r.n for r in found) <= 12
+    assert {r.b for r in docs.limit(0).select(native.ordered_buckets(docs.limit(0), 5).alias("b")).collect()} == set()
+
+
+def test_one_id_on_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "BUCKET_ROWS", 5)
+    docs = spark.range(90).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("doc_id"), F.concat(F.lit("a b c d e f "), F.col("id")).alias("text"))
+    got = fingerprints.fingerprint_pairs(docs.unionByName(docs.filter("doc_id in (1, 2, 4)"))).collect()
+    assert len(got) == 93
