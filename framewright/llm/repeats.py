@@ -29,8 +29,6 @@ LENGTH, ANCHOR = 400, 64
 GROUP, BLOCK = 1_000_000, 1_000_000
 #: Bytes that are hashed in one go, and the bits of a place among them.
 AT_ONCE, PLACE = 1 << 19, np.uint64(20)
-#: Texts that a task remembers to skip their copies.
-SEEN = 100_000
 #: Bits of a place in a block (two groups at most); intervals of more rows are extended symbol by symbol.
 ROW, WIDE = 21, 32
 _UP, _DOWN = powers(BASE, AT_ONCE + 1), powers(_INVERSE, AT_ONCE + 1)
@@ -284,8 +282,10 @@ def _key(text: Column) -> list[Column]:
 def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -> DataFrame:
     """k1, k2 of each text with repeats, and its spans: array<struct<s, e>>, in no order, overlapping."""
     texts = keyed(docs).filter(F.octet_length("text") >= length).drop("doc_id")
-    copies = texts.select("k1", "k2", F.octet_length("text").cast("long").alias("e")).groupBy("k1", "k2").agg(F.max("e").alias("e"), F.count(F.lit(1)).alias("c"))
-    copies = scratch.written(copies.filter("c > 1").select("k1", "k2", F.lit(0).cast("long").alias("s"), "e"), "repeat-copies")
+    # One row a text from here on: each task keeps one of its copies, so that no task gets more rows of a text than there are tasks.
+    once = scratch.written(texts.groupBy("k1", "k2").agg(F.count(F.lit(1)).alias("c"), F.first("text").alias("text")), "repeat-texts")
+    copies = once.filter("c > 1").select("k1", "k2", F.lit(0).cast("long").alias("s"), F.octet_length("text").cast("long").alias("e"))
+    copies, texts = scratch.written(copies, "repeat-copies"), once.drop("c")
     marks = scratch.written(_marks(texts, length, anchor), "repeat-marks")
     half = half_way(length, anchor)
     firsts = [F.first(c).alias(c) for c in ("k1", "k2", "s", "n", "x", "w0", "w1")]
@@ -305,15 +305,9 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
     asked = wanted.groupBy("k1", "k2").agg(F.collect_list(F.struct("w", "s", "n", "x", "d", "own")).alias("ps"))
 
     def cut(batches):
-        seen = set()
         for b in batches:
             out = []
-            if len(seen) > SEEN:
-                seen.clear()
             for k1, k2, text, ps in zip(*(b.column(c).to_pylist() for c in ("k1", "k2", "text", "ps")), strict=True):
-                if (k1, k2) in seen:  # pieces of copies are harmless, but cost room
-                    continue
-                seen.add((k1, k2))
                 raw = text.encode()
                 for p in ps:
                     s, a, d = p["s"], p["s"] + p["x"], p["d"]
@@ -324,7 +318,7 @@ def removed_spans(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR) -
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], kind) for i, kind in enumerate(kinds)], ["w", "k1", "k2", "s", "x", "d", "own", "raw"])
 
     pieces = scratch.written(texts.join(asked, ["k1", "k2"]).mapInArrow(cut, PIECE), "repeat-pieces")
-    scratch.discard(wanted)
+    scratch.discard(wanted, once)
     found, g = [copies, twice], half
     while True:
         large = pieces.groupBy("w").agg(F.sum(F.octet_length("raw")).alias("size")).filter(F.col("size") > GROUP).select("w")
