@@ -1,8 +1,8 @@
 """Benchmark decontamination, in DataFrame functions only.
 
 Each benchmark item becomes its normalised word windows. Windows of all lengths of the training documents are hashed in one scan
-and probed against a broadcast hash set of the items' windows; each hit is verified word by word. A set of more bytes than the
-bound is cut into slices by hash, each of which is broadcast to a scan of its own: of the documents only hits are ever shuffled.
+and probed against a broadcast hash set of the items' windows, first by a bitmap of it, so that few windows leave their text's row; each hit
+is verified word by word. A set of more bytes than the bound is cut into slices by hash, each of which is broadcast to a scan of its own: of the documents only hits are ever shuffled.
 """
 
 from __future__ import annotations
@@ -18,6 +18,8 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 WINDOW = 10
 #: Bytes of a slice of the hash set that is broadcast, and those that a window takes besides its text.
 BROADCAST_BYTES, A_WINDOW = 32 << 20, 100
+#: Bits of the bitmap of a slice for each of its windows, and the most it has (as a power of two).
+BITS_A_WINDOW, MOST_BITS = 16, 20
 
 
 def item_windows(items: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -42,15 +44,31 @@ def slices(found: DataFrame) -> list[DataFrame]:
         n *= 2
 
 
+def likely(own: DataFrame):
+    """From a hash to whether it may be one of `own` (h): two bits of each hash in a bitmap, a constant of the plan of 2 ** MOST_BITS bits at most."""
+    n = own.count()
+    b = max(6, min(MOST_BITS, (BITS_A_WINDOW * n).bit_length()))
+    places = lambda h: (F.shiftrightunsigned(h, 64 - b), h.bitwiseAND(F.lit((1 << b) - 1)))
+    each = own.select(F.explode(F.array(*places(F.col("h")))).alias("i")).select(F.shiftright("i", 6).alias("word"), F.col("i").bitwiseAND(F.lit(63)).cast("int").alias("bit"))
+    words = [0] * (1 << b - 6)
+    for r in each.groupBy("word").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("bits")).collect():
+        words[r.word] = r.bits
+    bitmap = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")
+    is_set = lambda i: F.bit_get(F.get(bitmap, F.shiftright(i, 6).cast("int")), i.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return lambda h: is_set(places(h)[0]) & is_set(places(h)[1])
+
+
 def hits(docs: DataFrame, items: DataFrame, size: int = WINDOW) -> DataFrame:
     """Verified hits by document: doc_id, row (hash of the text), covered (sorted word positions from 0), item_ids (sorted strings)."""
     found = scratch.written(item_windows(items, size), "benchmark-windows")
     sizes = [r.k for r in found.select("k").distinct().orderBy("k").collect()]
     words = docs.select("doc_id", F.xxhash64("text").alias("row"), split_words(F.col("text"), SEPARATORS).alias("words"))
-    of = lambda k: F.transform(windows(F.col("words"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("at"), h.alias("h")))
-    each = words.select("doc_id", "row", "words", F.explode(F.concat(*map(of, sizes))).alias("x")).select("doc_id", "row", "words", "x.*") if sizes else None
+    placed = lambda k: F.transform(windows(F.col("words"), k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("at"), h.alias("h")))
     met = None
     for own in slices(found):
+        may_be = likely(own)
+        few = lambda k: F.filter(placed(k), lambda x: may_be(x["h"]))  # noqa: B023, E731
+        each = words.select("doc_id", "row", "words", F.explode(F.concat(*map(few, sizes))).alias("x")).select("doc_id", "row", "words", "x.*")
         is_window = F.array_join(F.slice("words", F.col("at") + 1, F.col("k")), " ") == F.col("window")
         hit = each.join(F.broadcast(own), ["k", "h"]).filter(is_window).select("doc_id", "row", "k", "at", "h", "window")
         met = hit if met is None else met.unionByName(hit)
