@@ -48,14 +48,14 @@ def windows(words: Column, k: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= k, slide(h)).otherwise(F.array().cast("array<bigint>")))
 
 
-def ordered_buckets(docs: DataFrame, bucket_rows: int) -> Column:
+def ordered_buckets(docs: DataFrame, bucket_rows: int, by_bytes: bool = True) -> Column:
     """A bucket number that ascends with doc_id (whole numbers), of about `bucket_rows` rows each, however the ids lie; -1 for null.
 
-    A row counts as one for each A_ROW bytes of its text. Ids are counted exactly, and in order by ranges; the ids at which buckets
+    A row counts as one for each A_ROW bytes of its text (without `by_bytes` as one, and no text is read). Ids are counted exactly, and in order by ranges; the ids at which buckets
     begin, MOST_BUCKETS at most, come to the driver. The rows of an id that fills several buckets are dealt to these by hash of the
     text, so that their order among themselves is no longer by text.
     """
-    weight = F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / A_ROW)).cast("long")
+    weight = F.lit(1).cast("long") if not by_bytes else F.greatest(F.lit(1), F.floor(F.octet_length(F.coalesce("text", F.lit(""))) / A_ROW)).cast("long")
     ids = docs.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.sum(weight).alias("n"))
     counted = scratch.written(running(ids, ["doc_id"], F.col("n")), "ordered-ids")
     total = counted.agg(F.max(F.col("before") + F.col("n")).alias("n")).first().n

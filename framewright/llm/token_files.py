@@ -185,7 +185,7 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, rows_a_file: int =
     """
     spark = docs.sparkSession
     text, unnamed = F.coalesce("text", F.lit("")), docs.filter("doc_id is null").count()
-    bucket = F.when(F.col("doc_id").isNull(), -3 - F.pmod(F.xxhash64(text), F.lit(-(-unnamed // rows_a_file) or 1))).otherwise(ordered_buckets(docs, rows_a_file))
+    bucket = F.when(F.col("doc_id").isNull(), -3 - F.pmod(F.xxhash64(text), F.lit(-(-unnamed // rows_a_file) or 1))).otherwise(ordered_buckets(docs, rows_a_file, by_bytes=False))
     rows = docs.select("doc_id", text.alias("text"), bucket.alias("bucket"))
     kind = word_ids(path).kind
     chunks = scratch.written(tokenised(rows, path, end_id), "token-chunks")
@@ -204,13 +204,22 @@ def write_files(docs: DataFrame, path: str, end_id: int = 0, rows_a_file: int =
         magic, name = (NO_IDS, f"ids-none-{-3 - bucket:012d}") if bucket < -2 else (MAGIC, f"ids-{bucket + 1:012d}")
         first = np.cumsum(counts) - counts
         n = int(counts.sum())
-        starts = np.repeat(first[order] - (np.cumsum(counts[order]) - counts[order]), counts[order])
+        until = np.cumsum(counts[order])  # where each document ends in the file
+
+        def between(at: int, end: int) -> np.ndarray:
+            """Ids at..end of the file, in its order; only documents of this part are looked at."""
+            i, j = np.searchsorted(until, at, "right"), np.searchsorted(until, end, "left")
+            o = order[i : j + 1]
+            part = ids[np.repeat(first[o] - (np.cumsum(counts[o]) - counts[o]), counts[o]) + np.arange(int(counts[o].sum()))]
+            skip = at - (int(until[i]) - int(counts[o[0]]))
+            return part[skip : skip + end - at]
+
 
         def write(out):
             out.write(magic + struct.pack("<QQ", len(order), -(-n // BLOCK)) + doc_ids[order].tobytes() + counts[order].tobytes())
             for at in range(0, n, BLOCK):
                 end = min(n, at + BLOCK)
-                control, data = pack(rank_of[ids[starts[at:end] + np.arange(at, end)]])
+                control, data = pack(rank_of[between(at, end)])
                 out.write(struct.pack("<QQ", end - at, len(data)) + control + data)
 
         files.publish(f"{home}/{name}", write)
