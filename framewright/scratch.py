@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 _SETTING = "spark.checkpoint.dir"
 #: With it, Spark deletes a query's shuffle files when the query ends.
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Rows that a Python worker holds at once; texts are long, and idle workers keep the memory they once took.
+_ROWS, ROWS_A_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -29,15 +31,18 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as Parquet in the shared folder and return a scan of it; the shuffle files it took are deleted."""
+    """Write `df` as Parquet in the shared folder and return a scan of it; the shuffle files it took are deleted, Arrow batches are small."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    before = spark.conf.get(_CLEANUP)
-    spark.conf.set(_CLEANUP, "true")
+    settings = {_CLEANUP: "true", _ROWS: ROWS_A_BATCH}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
     try:
         df.write.option("compression", "zstd").parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out.scratch_path = path
     return out
