@@ -16,7 +16,7 @@ _BYTE = _random.integers(1, 1 << 63, 256, np.uint64)
 BASE = int(_random.integers(1, 1 << 63)) * 2 + 1 & (1 << 64) - 1
 _INVERSE = pow(BASE, -1, 1 << 64)
 #: Bytes hashed in one go.
-AT_ONCE = 1 << 22
+AT_ONCE = 1 << 18
 
 
 def powers(base: int, n: int) -> np.ndarray:

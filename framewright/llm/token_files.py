@@ -131,7 +131,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
         kind, tail = words.kind, np.array([end_id], words.kind).tobytes()
         held: dict[int, tuple[list, list, list]] = {}
         seen, size = np.zeros(1, np.int64), 0
-        press = zstandard.ZstdCompressor(3).compress
+        press = zstandard.ZstdCompressor(1).compress
 
         def chunk(bucket, doc_ids, counts, ids):
             return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), *(pa.array([x], pa.binary()) for x in (np.array(doc_ids, "<i8").tobytes(), np.array(counts, "<i8").tobytes(), press(ids)))], ["bucket", "doc_ids", "counts", "ids"])
