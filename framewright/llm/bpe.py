@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from framewright.llm.pretokens import splitter
 
 #: Words whose ids a worker remembers between batches; it forgets all beyond. Long words are never remembered.
-REMEMBERED, LONG = 600_000, 64
+REMEMBERED, LONG = 250_000, 64
 TEXTS_AT_ONCE = 1000
 
 

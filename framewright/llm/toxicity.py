@@ -27,7 +27,7 @@ MAX_LABELLED = 500_000
 #: Lexicons, by doublings of the odds, the last one open; distinct finds of a lexicon told apart (2 bits).
 LEXICONS, LEVELS = 5, 3
 #: Letters of a stem; distinct words in toxic rows that make one; words whose entries a worker remembers.
-STEM, FAMILY, REMEMBERED = (3, 16), 3, 400_000
+STEM, FAMILY, REMEMBERED = (3, 16), 3, 150_000
 #: The share of a voter's weight that its finding nothing has, and how often a toxic and another text is labelled toxic: the setting
 #: with the fewest errors (the least log loss among equals) of 15 by `fold_errors` at sf0.1, that is over training rows alone.
 ABSENT = 0.75
