@@ -14,6 +14,8 @@ from framewright.llm import bpe, decontaminate, jaccard, repeats, toxicity
 
 #: Near duplicates in the pipeline: words in a shingle, least similarity in percent.
 SHINGLE, PERCENT = 5, 80
+#: Words that an encoding worker remembers: fewer than alone, as the other stages run in the same workers.
+REMEMBERED = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,7 +44,7 @@ def cut_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and the digests of ids and of the decoded bytes of every document left; null is the empty text."""
-    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN, REMEMBERED)
 
 
 STAGES = [

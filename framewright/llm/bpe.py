@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from framewright.llm.pretokens import splitter
 
 #: Words whose ids a worker remembers between batches; it forgets all beyond. Long words are never remembered.
-REMEMBERED, LONG = 250_000, 64
+REMEMBERED, LONG = 600_000, 64
 TEXTS_AT_ONCE = 1000
 
 
@@ -110,7 +110,8 @@ def replay(words: list[bytes], rank_of: dict[bytes, int], by_id: dict[int, bytes
 class Coder:
     """Encodes and decodes texts; ids are little-endian unsigned 32-bit bytes."""
 
-    def __init__(self, path: str, pattern: str):
+    def __init__(self, path: str, pattern: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         self.ranks = ranks(path)
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.split = splitter(pattern)
@@ -118,7 +119,7 @@ class Coder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.split(x) for x in texts]
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > self.remembered:
             self.known.clear()
         new = list(set().union(*split).difference(self.known))
         raw = [w.encode() for w in new]
@@ -138,13 +139,13 @@ class Coder:
 
 
 @lru_cache(2)
-def coder(path: str, pattern: str) -> Coder:
-    return Coder(path, pattern)
+def coder(path: str, pattern: str, remembered: int) -> Coder:
+    return Coder(path, pattern, remembered)
 
 
-def _mapped(docs: DataFrame, path: str, pattern: str, give, columns: str) -> DataFrame:
+def _mapped(docs: DataFrame, path: str, pattern: str, give, columns: str, remembered: int = REMEMBERED) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = coder(path, pattern)
+        c = coder(path, pattern, remembered)
         for b in batches:
             for at in range(0, b.num_rows, TEXTS_AT_ONCE):
                 part = b.slice(at, TEXTS_AT_ONCE)
@@ -164,8 +165,8 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _mapped(docs, path, pattern, give, "ids array<int>")
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of `docs` (doc_id, text).
+def round_trip(docs: DataFrame, path: str, pattern: str, remembered: int = REMEMBERED) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256 and decoded_sha256 of each row of `docs` (doc_id, text); a worker remembers the ids of `remembered` words.
 
     Null is the empty text: no ids, digests of nothing. Repeated rows get a row each, an empty table an empty result;
     other columns are ignored. Nothing is shuffled; a task holds one batch of documents and its words.
@@ -174,4 +175,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         sha = lambda x: hashlib.sha256(x).hexdigest()
         return [pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([sha(x) for x in ids]), pa.array([sha(c.decode(x)) for x in ids])]
 
-    return _mapped(docs, path, pattern, give, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _mapped(docs, path, pattern, give, "n_tokens long, ids_sha256 string, decoded_sha256 string", remembered)
